@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup
+from tessera.llm import exact_dedup, interleave, simhash
 
-MODULES = (exact_dedup,)
+MODULES = (simhash, interleave, exact_dedup)
 
 
 def queries() -> dict:
