@@ -72,10 +72,10 @@ SQL = {
         ), f AS (
             SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key, doc_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS fraction FROM d
         ), r AS (
-            SELECT *, row_number() OVER (ORDER BY fraction, source, key, doc_id) - 1 AS at, count(*) OVER () AS total FROM f
-        ), s AS (SELECT *, (at * 40 // total)::INTEGER AS shard FROM r)
+            SELECT *, row_number() OVER (ORDER BY fraction, source, key, doc_id) - 1 AS pos, count(*) OVER () AS total FROM f
+        ), s AS (SELECT *, (pos * 40 // total)::INTEGER AS shard FROM r)
         SELECT s.doc_id, size::BIGINT AS size, coalesce(text_crc32, 0)::BIGINT AS text_crc32, 'rows' AS law, shard,
-               at - (shard * total + 39) // 40 AS slot, NULL::INTEGER AS grown_shard
+               pos - (shard * total + 39) // 40 AS slot, NULL::INTEGER AS grown_shard
         FROM s JOIN c USING (doc_id)
     """,
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, interleave, simhash
+from tessera.llm import exact_dedup, interleave, packing, simhash
 
-MODULES = (simhash, interleave, exact_dedup)
+MODULES = (simhash, interleave, exact_dedup, packing)
 
 
 def queries() -> dict:
