@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, interleave, packing, simhash
+from tessera.llm import exact_dedup, interleave, packing, simhash, toxicity
 
-MODULES = (simhash, interleave, exact_dedup, packing)
+MODULES = (simhash, interleave, exact_dedup, toxicity, packing)
 
 
 def queries() -> dict:
