@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, interleave, packing, simhash, toxicity
+from tessera.llm import exact_dedup, interleave, language, packing, simhash, toxicity
 
-MODULES = (simhash, interleave, exact_dedup, toxicity, packing)
+MODULES = (simhash, interleave, exact_dedup, language, toxicity, packing)
 
 
 def queries() -> dict:
