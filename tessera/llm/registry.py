@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, interleave, language, packing, pii, simhash, toxicity
+from tessera.llm import decontaminate, exact_dedup, interleave, language, packing, pii, simhash, toxicity
 
-MODULES = (simhash, interleave, exact_dedup, language, pii, toxicity, packing)
+MODULES = (simhash, interleave, decontaminate, exact_dedup, language, pii, toxicity, packing)
 
 
 def queries() -> dict:
