@@ -55,6 +55,8 @@ _ZONE_OF = {word: zone for zone, words in NAMES.items() for word in words.split(
 DEFAULT = {"word": 1.0, "zone": -0.5, "link": -0.5, "tag": -0.2}
 _SCOPE = frozenset("article aside blockquote body div dd details dialog fieldset figure footer form header html li main nav section td th table ul ol dl".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: In a page that marks its article, tags and foreign words inside it lose most of their weight, and words outside score below zero.
+WITHIN = 0.02
 
 
 def _zone(tag: str, attributes: str, within: bool) -> str:
@@ -146,23 +148,27 @@ def weigh(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return out
 
 
-def _weight(kind: str, weights: dict[str, float]) -> float:
-    if (w := weights.get(kind)) is not None:
-        return w
-    if kind[0] == "<":
-        return DEFAULT["tag"]
-    zone, _, link = kind.split("|")
-    return DEFAULT["zone"] if zone else DEFAULT["link"] if link else DEFAULT["word"]
+def _weight(kind: str, weights: dict[str, float], marked: bool, inside: bool) -> float:
+    tag, zone = kind[0] == "<", kind.split("|")[1 if kind[0] == "<" else 0]
+    w = weights.get(kind)
+    if w is None:
+        w = DEFAULT["tag"] if tag else DEFAULT["zone"] if zone else DEFAULT["link"] if kind.endswith("a") else DEFAULT["word"]
+    if marked and not inside:
+        return w if tag else -1.0
+    if marked:
+        return w * WITHIN if tag or zone else max(w, DEFAULT["word"])
+    return w
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:
     """The blocks of the best run, joined by empty lines."""
     found = list(tokens(page or ""))
+    marked = any(x[4] for x in found)
     best, total, start, run = 0.0, 0.0, 0, (0, 0)
-    for i, (kind, text, _, _, _) in enumerate(found):
+    for i, (kind, text, _, _, inside) in enumerate(found):
         if total <= 0:
             total, start = 0.0, i
-        total += _weight(kind, weights) * (1 if kind[0] == "<" else len(text.split()))
+        total += _weight(kind, weights, marked, inside) * (1 if kind[0] == "<" else len(text.split()))
         if total > best:
             best, run = total, (start, i + 1)
     blocks: list[list[str]] = []
