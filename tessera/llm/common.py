@@ -62,3 +62,16 @@ def lower_az(c: Column) -> Column:
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions the session asks for, at least one for each core."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with one row for each key. per_key counts, in column count, how many of rows have its key.
+
+    Keys of more than HOT_SHARE of what is counted are few by arithmetic, so they are broadcast and their rows stay
+    where they are; the others are exchanged by key.
+    """
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    large = F.col(count) > max(1, int(total * HOT_SHARE))
+    hot = F.broadcast(per_key.where(large))
+    rest = rows.join(hot.select(key), key, "left_anti").join(per_key.where(~large), key)
+    return rows.join(hot, key).unionByName(rest)

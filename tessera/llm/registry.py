@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, exact_dedup, html_text, interleave, language, packing, pii, simhash, toxicity
+from tessera.llm import decontaminate, exact_dedup, html_text, interleave, language, packing, pii, simhash, toxicity, warc
 
-MODULES = (simhash, interleave, decontaminate, html_text, exact_dedup, language, pii, toxicity, packing)
+MODULES = (simhash, warc, interleave, decontaminate, html_text, exact_dedup, language, pii, toxicity, packing)
 
 
 def queries() -> dict:
