@@ -14,6 +14,15 @@ HOT_SHARE = 1 / 2000
 SALTS = 32
 
 
+#: Bytes of a batch of rows that goes to a Python worker; workers hold a few at a time.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker is given at once by bytes, so long texts don't add up to more than it may hold."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table by path; only Spark's readers open it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
