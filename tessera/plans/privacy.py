@@ -1,0 +1,66 @@
+"""Queries on what is to be protected: spans in whole documents, short forms, keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import curate as C
+from tessera.operators import privacy as P
+from tessera.plans import sql as S
+from tessera.plans.catalogue import query
+from tessera.session import table
+
+
+@query("q_spans")
+def spans(spark, d):
+    """2.13, STR-18, STR-19: no SQL, as DuckDB's patterns have no look-around and its matches no places; tested against a plain loop."""
+    out = P.general_spans(table(spark, d, "documents"), "text")
+    return out.select("doc_id", F.size("spans").alias("n_spans"), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), s["kind"])), ",").alias("spans"))
+
+
+@query("q_number_runs", "SELECT doc_id, len(regexp_extract_all(lower(text), '[0-9]+')) AS n_runs FROM documents")
+def number_runs(spark, d):
+    """The digit runs among the spans."""
+    out = P.general_spans(table(spark, d, "documents"), "text")
+    return out.select("doc_id", F.size(F.filter("spans", lambda s: s["kind"] == "number")).cast("long").alias("n_runs"))
+
+
+@query("q_part_spans")
+def part_spans(spark, d):
+    """JOI-8, FLT-11, STR-17: each document's own first words, flagged no, sought in all of it."""
+    df = table(spark, d, "documents").withColumn("low", F.lower("text"))
+    term = F.array_join(F.slice(T.words(F.col("text")), 1, 2), " ")
+    parts = F.array(F.struct(F.lit(" NO ").alias("image_inferable"), term.alias("part_text"), F.lit("").alias("reason_text")))
+    out = df.select("doc_id", P.merged(P.part_spans(F.col("low"), P.sensitive_terms(parts))).alias("spans"))
+    return out.select("doc_id", F.size("spans").alias("n_spans"), F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
+
+
+
+@query("q_variants")
+def variants(spark, d):
+    """STR-17, STR-16."""
+    t = F.concat(F.lit("Evaluate for  pneumonia; rule out chest pain "), F.col("role"))
+    v = T.variants(t, P.SHORT_FORMS)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(v).alias("n_variants"), F.array_join(v, "|").alias("variants"))
+
+
+@query("q_canonical", f"SELECT doc_id, md5({S.canonical('text')}) AS canonical_md5 FROM documents")
+def canonical(spark, d):
+    """STR-16."""
+    return table(spark, d, "documents").select("doc_id", F.md5(T.canonical(F.col("text"))).alias("canonical_md5"))
+
+
+@query(
+    "q_resolve_id",
+    """WITH k AS (SELECT CASE WHEN lang = 'en' THEN doc_id::VARCHAR WHEN lang = 'fr' THEN 'a:' || doc_id WHEN lang = 'de' THEN 'b:' || doc_id || '.jpg' END AS key, lang FROM documents)
+    SELECT doc_id, coalesce(x.key, y.key, z.key) AS key FROM documents d LEFT JOIN k x ON x.key = d.doc_id::VARCHAR LEFT JOIN k y ON y.key = 'a:' || d.doc_id || '.png' OR y.key = 'a:' || d.doc_id LEFT JOIN k z ON z.key = 'b:' || d.doc_id || '.jpg'""",
+)
+def resolve_id(spark, d):
+    """JOI-9."""
+    docs = table(spark, d, "documents")
+    i, lang = F.col("doc_id").cast("string"), F.col("lang")
+    key = F.when(lang == "en", i).when(lang == "fr", F.concat(F.lit("a:"), i)).when(lang == "de", F.concat(F.lit("b:"), i, F.lit(".jpg")))
+    keys = docs.select(key.alias("key")).where("key is not null")
+    tried = F.array(i, F.concat(F.lit("a:"), i), F.get(P.key_candidates(F.concat(i, F.lit(".png")), "a", "b"), F.lit(2)))
+    return C.resolve(docs.select("doc_id", "lang"), tried, keys, "key").select("doc_id", F.col("hit.key").alias("key"))

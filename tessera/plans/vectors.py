@@ -1,0 +1,212 @@
+"""Queries on embeddings: centroids, nearest cluster, coherence, representatives, privacy of vectors. Label 0 plays the noise."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.functions import vectors as V
+from tessera.operators import taxonomy as X
+from tessera.operators import vectors as O
+from tessera.plans.catalogue import query
+from tessera.session import cut, table
+
+NOISE = 0
+_DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
+_NORM = "sqrt(" + _DOT.format("embedding", "embedding") + ")"
+_LONG = "l AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM embeddings)"
+_CENTERS = f"{_LONG}, c AS (SELECT label, pos, avg(x) AS mean FROM l WHERE label <> 0 GROUP BY label, pos), cs AS (SELECT label AS cluster, list(mean ORDER BY pos) AS centroid FROM c GROUP BY label)"
+_BEST = f"""{_CENTERS}, s AS (SELECT vec_id, cluster, round({_DOT.format('embedding', 'centroid')} / ({_NORM} * sqrt({_DOT.format('centroid', 'centroid')})), 9) AS similarity FROM embeddings, cs WHERE label = 0),
+    b AS (SELECT vec_id, arg_min(cluster, (-similarity, cluster)) AS cluster, max(similarity) AS similarity FROM s GROUP BY vec_id)"""
+
+
+def _split(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.where(F.col("label") != NOISE), e.where(F.col("label") == NOISE)
+
+
+def _assigned(spark, d):
+    known, noise = _split(spark, d)
+    return O.nearest(noise, "vec_id", "embedding", cut(O.centroids(known, "label", "embedding")))
+
+
+@query("q_centroids", f"WITH {_LONG} SELECT label AS cluster, pos::INTEGER AS pos, round(avg(x), 6) AS mean FROM l WHERE label <> 0 GROUP BY label, pos")
+def centroids(spark, d):
+    return O.centroids_long(_split(spark, d)[0], "label", "embedding").select("cluster", "pos", F.round("mean", 6).alias("mean"))
+
+
+@query("q_nearest", f"WITH {_BEST} SELECT vec_id, cluster, round(similarity, 4) AS similarity FROM b")
+def nearest(spark, d):
+    """JOI-7, VEC-1, VEC-9."""
+    return _assigned(spark, d).select(F.col("id").alias("vec_id"), "cluster", F.round("similarity", 4).alias("similarity"))
+
+
+@query(
+    "q_noise_merge",
+    f"""WITH {_BEST}, a AS (SELECT label AS cluster, count(*) AS before FROM embeddings WHERE label <> 0 GROUP BY label), g AS (SELECT cluster, count(*) AS gained FROM b GROUP BY cluster)
+    SELECT cluster, before, coalesce(gained, 0) AS gained, before + coalesce(gained, 0) AS after FROM a LEFT JOIN g USING (cluster)""",
+)
+def noise_merge(spark, d):
+    """AGG-15, AGG-23: a vector's own cluster goes before the assigned one."""
+    known, _ = _split(spark, d)
+    own = known.select("vec_id", F.col("label").alias("cluster"), F.lit(0).alias("gained"))
+    given = _assigned(spark, d).select(F.col("id").alias("vec_id"), "cluster", F.lit(1).alias("gained"))
+    every = X.first_wins(own, given, key="vec_id")
+    return every.groupBy("cluster").agg(F.count_if(F.col("gained") == 0).alias("before"), F.count_if(F.col("gained") == 1).alias("gained"), F.count(F.lit(1)).alias("after"))
+
+
+@query("q_similarity_percentiles", f"WITH {_BEST} SELECT round(quantile_cont(similarity, 0.05), 6) AS p05, round(quantile_cont(similarity, 0.25), 6) AS p25, round(quantile_cont(similarity, 0.5), 6) AS p50, round(quantile_cont(similarity, 0.75), 6) AS p75, round(quantile_cont(similarity, 0.95), 6) AS p95 FROM b")
+def similarity_percentiles(spark, d):
+    """AGG-22."""
+    p = F.percentile("similarity", F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
+    return _assigned(spark, d).agg(p.alias("p")).select(*(F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p05", "p25", "p50", "p75", "p95"))))
+
+
+_UNIT = f"u AS (SELECT label, vec_id, pos, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS u FROM l WHERE label <> 0), us AS (SELECT label, pos, sum(u) AS s, sum(u * u) AS q, count(*) AS n FROM u GROUP BY label, pos)"
+_COH = f"{_LONG}, {_UNIT}, k AS (SELECT label AS cluster, max(n) AS size, (sum(s * s) - sum(q)) / (max(n) * (max(n) - 1)) AS coherence FROM us GROUP BY label HAVING max(n) >= 2)"
+
+
+@query("q_coherence", f"WITH {_COH} SELECT cluster, size, round(coherence, 6) AS coherence FROM k")
+def coherence(spark, d):
+    return O.coherence(_split(spark, d)[0], "label", "embedding").select("cluster", "size", F.round("coherence", 6).alias("coherence"))
+
+
+@query("q_coherence_summary", f"WITH {_COH} SELECT round(avg(coherence), 6) AS mean_coherence, round(stddev_pop(coherence), 6) AS std_coherence, round(min(coherence), 6) AS min_coherence FROM k")
+def coherence_summary(spark, d):
+    """AGG-18."""
+    k = O.coherence(_split(spark, d)[0], "label", "embedding")
+    return k.agg(F.round(F.avg("coherence"), 6).alias("mean_coherence"), F.round(F.stddev_pop("coherence"), 6).alias("std_coherence"), F.round(F.min("coherence"), 6).alias("min_coherence"))
+
+
+@query("q_cluster_sizes", "WITH s AS (SELECT CASE WHEN label = 0 THEN -1 ELSE label END AS c, count(*) AS n FROM embeddings GROUP BY 1) SELECT count(*) FILTER (c <> -1) AS n_clusters, round(coalesce(sum(n) FILTER (c = -1), 0) / sum(n)::DOUBLE, 6) AS noise_ratio, min(n) FILTER (c <> -1) AS size_min, quantile_cont(n, 0.5) FILTER (c <> -1) AS size_median, max(n) FILTER (c <> -1) AS size_max FROM s")
+def cluster_sizes(spark, d):
+    """AGG-17."""
+    c = F.when(F.col("label") == NOISE, -1).otherwise(F.col("label"))
+    return O.cluster_metrics(table(spark, d, "embeddings").withColumn("c", c), "c").withColumn("noise_ratio", F.round("noise_ratio", 6))
+
+
+_XY = "xy AS (SELECT label, vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
+
+
+def _xy(spark, d):
+    return table(spark, d, "embeddings").select("label", "vec_id", F.col("embedding")[0].alias("x"), F.col("embedding")[1].alias("y"))
+
+
+@query("q_representative", f"WITH {_XY}, m AS (SELECT label, avg(x) AS mx, avg(y) AS my FROM xy GROUP BY label), f AS (SELECT label, vec_id, round(sqrt(pow(x - mx, 2) + pow(y - my, 2)), 12) AS far FROM xy JOIN m USING (label)) SELECT label AS cluster, arg_min(vec_id, (far, vec_id)) AS id, round(min(far), 6) AS distance FROM f GROUP BY label")
+def representative(spark, d):
+    return O.representatives(_xy(spark, d), "label", "vec_id", F.col("x"), F.col("y")).withColumn("distance", F.round("distance", 6))
+
+
+@query("q_xy_dist", f"WITH {_XY}, m AS (SELECT label, avg(x) AS mx, avg(y) AS my FROM xy GROUP BY label) SELECT vec_id, round(sqrt(pow(x - mx, 2) + pow(y - my, 2)), 6) AS distance FROM xy JOIN m USING (label)")
+def xy_dist(spark, d):
+    """VEC-2."""
+    xy = _xy(spark, d)
+    m = xy.groupBy("label").agg(F.avg(F.col("x").cast("double")).alias("mx"), F.avg(F.col("y").cast("double")).alias("my"))
+    return xy.join(F.broadcast(m), "label").select("vec_id", F.round(F.sqrt(F.pow(F.col("x").cast("double") - F.col("mx"), 2) + F.pow(F.col("y").cast("double") - F.col("my"), 2)), 6).alias("distance"))
+
+
+@query(
+    "q_silhouette",
+    f"""WITH {_XY}, p AS (SELECT a.vec_id, a.label, b.label AS l2, avg(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) AS d FROM xy a JOIN xy b ON a.vec_id <> b.vec_id GROUP BY ALL),
+    n AS (SELECT vec_id, label, min(d) FILTER (label = l2) AS a, min(d) FILTER (label <> l2) AS b FROM p GROUP BY ALL)
+    SELECT label AS cluster, count(*) AS n, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM n GROUP BY label""",
+)
+def silhouette(spark, d):
+    s = O.silhouette(_xy(spark, d), "label", "vec_id", F.col("x"), F.col("y"))
+    return s.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("silhouette"), 6).alias("silhouette"))
+
+
+@query(
+    "q_best_params",
+    """WITH r AS (SELECT label AS run, count(*) AS a, round(avg(embedding[1]::DOUBLE), 9) AS b FROM embeddings GROUP BY label),
+    s AS (SELECT run, (CASE WHEN max(a) OVER () > min(a) OVER () THEN (a - min(a) OVER ()) / (max(a) OVER () - min(a) OVER ())::DOUBLE ELSE 0.5 END + CASE WHEN max(b) OVER () > min(b) OVER () THEN (b - min(b) OVER ()) / (max(b) OVER () - min(b) OVER ()) ELSE 0.5 END) / 2 AS score, b FROM r)
+    SELECT 'mean_rank' AS rule, arg_min(run, (-round(score, 9), run)) AS run FROM s UNION ALL SELECT 'argmax', arg_min(run, (-b, run)) FROM s""",
+)
+def best_params(spark, d):
+    """WIN-3, WIN-4: runs are labels, their metrics a count and a mean."""
+    runs = table(spark, d, "embeddings").groupBy(F.col("label").alias("run")).agg(F.count(F.lit(1)).alias("a"), F.round(F.avg(F.col("embedding")[0].cast("double")), 9).alias("b"))
+    s = O.best_by_mean_rank(runs, "a", "b")
+    return s.agg(F.min_by("run", F.struct(-F.round("score", 9), "run")).alias("x"), F.min_by("run", F.struct(-F.col("b"), "run")).alias("y")).select(F.inline(F.array(F.struct(F.lit("mean_rank").alias("rule"), F.col("x").alias("run")), F.struct(F.lit("argmax").alias("rule"), F.col("y").alias("run")))))
+
+
+@query("q_sweep_grid", "SELECT nn, nc, mcs, ms FROM (VALUES (15), (30), (50)) a(nn), (VALUES (8), (16), (32)) b(nc), (VALUES (50), (100), (200)) c(mcs), (VALUES (10), (25), (50)) e(ms) WHERE NOT (nn = 15 AND nc = 16)")
+def sweep_grid(spark, d):
+    """MDL-6, SNK-10: the grid of parameters without the runs that are done."""
+    axes = {"nn": (15, 30, 50), "nc": (8, 16, 32), "mcs": (50, 100, 200), "ms": (10, 25, 50)}
+    grid = reduce(lambda a, b: a.crossJoin(b), (spark.createDataFrame([(v,) for v in vs], f"{n} int") for n, vs in axes.items()))
+    done = spark.createDataFrame([(15, 16)], "nn int, nc int")
+    return grid.join(F.broadcast(done), ["nn", "nc"], "left_anti")
+
+
+@query("q_cluster_sample", f"WITH {_XY}, m AS (SELECT label, avg(x) AS mx, avg(y) AS my FROM xy GROUP BY label), f AS (SELECT label, vec_id, round(sqrt(pow(x - mx, 2) + pow(y - my, 2)), 12) AS far FROM xy JOIN m USING (label)), p AS (SELECT label, arg_min(vec_id, (far, vec_id)) AS vec_id FROM f GROUP BY label), s AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) AS sample_rank FROM xy ANTI JOIN p USING (label, vec_id)) SELECT label, vec_id, sample_rank FROM s WHERE sample_rank <= 30")
+def cluster_sample(spark, d):
+    """SMP-1."""
+    xy = _xy(spark, d)
+    p = O.representatives(xy, "label", "vec_id", F.col("x"), F.col("y"))
+    return O.sample_members(xy.select("label", "vec_id"), "label", "vec_id", 42, 30, p).select("label", "vec_id", "sample_rank")
+
+
+@query("q_clip", f"SELECT vec_id, round({_NORM}, 6) AS norm, round({_NORM} * least(1.0::DOUBLE, 1.0::DOUBLE / greatest({_NORM}, 1e-6::DOUBLE)), 6) AS clipped_norm FROM embeddings")
+def clip(spark, d):
+    """VEC-4."""
+    v = F.col("embedding")
+    return table(spark, d, "embeddings").select("vec_id", F.round(V.norm(v), 6).alias("norm"), F.round(V.norm(V.clip(v, 1.0)), 6).alias("clipped_norm"))
+
+
+@query("q_noise_sigma", "SELECT 'finite' AS mode, round(2 * 1.0::DOUBLE / 8 * sqrt(2 * ln(1.25::DOUBLE / 2.8643446e-5::DOUBLE)), 6) AS sigma UNION ALL SELECT 'clip_only', 0.0::DOUBLE")
+def noise_sigma(spark, d):
+    """VEC-6, VEC-7."""
+    rows = [("finite", V.noise_std(1.0, 8.0, 2.8643446e-5)), ("clip_only", V.noise_std(1.0, float("inf"), 1e-5))]
+    return spark.createDataFrame(rows, "mode string, sigma double").withColumn("sigma", F.round("sigma", 6))
+
+
+@query(
+    "q_noisy",
+    f"""WITH {_LONG}, n AS (SELECT vec_id, pos, x * least(1.0::DOUBLE, 1.0::DOUBLE / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-6::DOUBLE)) AS c, '7:' || vec_id || ':' || pos AS k FROM l),
+    g AS (SELECT vec_id, pos, c + 0.5::DOUBLE * sqrt(-2 * ln((('0x' || substr(md5(k || ':a'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) * cos(2 * pi() * ((('0x' || substr(md5(k || ':b'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) AS v FROM n)
+    SELECT vec_id, pos::INTEGER AS pos, round(v, 6) AS value FROM g""",
+)
+def noisy(spark, d):
+    """VEC-5: clipped, then noised."""
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", F.posexplode(V.noisy(V.clip(F.col("embedding"), 1.0), F.col("vec_id"), 0.5, 7)).alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
+@query("q_round4", "SELECT vec_id, round_even(embedding[1]::DOUBLE, 4) AS r FROM embeddings")
+def round4(spark, d):
+    """VEC-9."""
+    return table(spark, d, "embeddings").select("vec_id", V.round_even(F.col("embedding")[0].cast("double"), 4).alias("r"))
+
+
+@query("q_clip_sum", f"WITH {_LONG}, n AS (SELECT pos, x * least(1.0::DOUBLE, 0.9::DOUBLE / (sqrt(sum(x * x) OVER (PARTITION BY vec_id)) + 1e-6::DOUBLE)) AS c FROM l) SELECT pos::INTEGER AS pos, round(sum(c), 6) AS total FROM n GROUP BY pos")
+def clip_sum(spark, d):
+    """VEC-8."""
+    return O.clipped_sum(table(spark, d, "embeddings"), "embedding", 0.9).withColumn("total", F.round("total", 6))
+
+
+@query("q_steps", "SELECT (ceil(34912 / (8 * 4 * 2)::DOUBLE) * 2)::BIGINT AS steps")
+def steps(spark, d):
+    """MTH-1."""
+    return spark.createDataFrame([(V.steps(34912, 8, 4, 2, 2),)], "steps long")
+
+
+@query("q_reencode_set", f"WITH a AS (SELECT doc_id, CASE WHEN source = 'src7' THEN '___ ' ELSE '' END || text AS t FROM documents) SELECT doc_id FROM a WHERE contains(t, '___')")
+def reencode_set(spark, d):
+    """MDL-2: the texts that the placeholder rewriting changes (beyond white space) are encoded anew."""
+    t = F.concat(F.when(F.col("source") == "src7", "___ ").otherwise(""), F.col("text"))
+    df = table(spark, d, "documents").select("doc_id", t.alias("t"))
+    return df.where(T.placeholders(F.col("t")) != T.pstrip(T.collapse(F.col("t")))).select("doc_id")
+
+
+@query(
+    "q_unseen_parts",
+    f"WITH {_LONG}, c AS (SELECT label, pos, avg(x) AS mean FROM l WHERE label < 9 GROUP BY label, pos), cs AS (SELECT label AS cluster, list(mean ORDER BY pos) AS centroid FROM c GROUP BY label), s AS (SELECT vec_id, cluster, round({_DOT.format('embedding', 'centroid')} / ({_NORM} * sqrt({_DOT.format('centroid', 'centroid')})), 9) AS similarity FROM embeddings, cs WHERE label = 9) SELECT vec_id, arg_min(cluster, (-similarity, cluster)) AS cluster, true AS from_noise FROM s GROUP BY vec_id UNION ALL SELECT vec_id, label, false FROM embeddings WHERE label < 9",
+)
+def unseen_parts(spark, d):
+    """MDL-3: parts of no cluster (label 9) are encoded once and take the nearest one; the encoder here reads the stored vector."""
+    e = table(spark, d, "embeddings")
+    seen, unseen = e.where("label < 9"), e.where("label = 9")
+    got = O.nearest(unseen, "vec_id", "embedding", cut(O.centroids(seen, "label", "embedding")))
+    return got.select(F.col("id").alias("vec_id"), "cluster", F.lit(True).alias("from_noise")).unionByName(seen.select("vec_id", F.col("label").alias("cluster"), F.lit(False).alias("from_noise")))
