@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, table
+from tessera.llm.common import bound_batches, cut, fresh, table
 
 WORDS, SHARE, LITERAL, FEW = 5, 0.8, 2, 4_000_000
 UNITS = tuple("mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg gram grams lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent mph kph kmh degree degrees".split())
@@ -200,6 +200,7 @@ def template_windows(docs: DataFrame, sizes: list[int], plain: bool, known: np.n
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", few: int = FEW) -> DataFrame:
     """One row for each pair of a text and an item it holds: id, key (digest of the text), item, found, of, changed."""
+    bound_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
     longest = items.agg(F.max(F.length("text"))).first()[0] or 0
     known = cut(items.mapInArrow(_items, f"item {items.schema['item'].dataType.simpleString()}, of bigint, plain boolean, hash bigint, place bigint, size int, values array<bigint>"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import bound_batches, table
 
 SAMPLE = 2000
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -182,6 +182,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict[str, float]:
     """Weights from a sample of the pages that mark their article."""
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.xxhash64(id_col).alias("h"), F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
     # The greatest hash of the sample reaches the driver, then its counts by kind of token, of which the code has a fixed number.
     most = rows.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import bound_batches, cut, table
 
 SAMPLE = 1500
 #: Trigrams that a language puts in, the most frequent first.
@@ -114,6 +114,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters of the languages in docs, which must hold learnable rows only."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.xxhash64(id_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     # One row for each language reaches the driver: the hash below which its sample lies, and its rows.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))

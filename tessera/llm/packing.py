@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
-from tessera.llm.common import cut, table
+from tessera.llm.common import bound_batches, cut, table
 
 SIZE = 4096
 END_ID = 1
@@ -39,6 +39,7 @@ _BLOCK = 16
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END_ID, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Each document's ids, an end token last, cut into pieces of size: id, piece, start, length, ids_crc32 (and ids)."""
     kind = docs.schema[id_col].dataType.simpleString()
+    bound_batches(docs.sparkSession)
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
     end = np.array([end_id], dtype="<u4").tobytes()
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, fresh, partitions, table
+from tessera.llm.common import bound_batches, cut, fresh, partitions, table
 from tessera.llm.components import components
 
 MAX_BITS = 3
@@ -175,6 +175,7 @@ def hex_of(fp: Column) -> Column:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """One row for each row of docs: id, fp, component_id."""
+    bound_batches(docs.sparkSession)
     return groups(cut(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), words).alias("fp"))))
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import bound_batches, cut, table
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, WORDS = 2000, 4000, 20_000
 LANDMARKS = 128
@@ -205,6 +205,7 @@ def _logistic(f: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict | None:
     """The model, or None without both classes. labels must hold learnable rows only."""
+    bound_batches(docs.sparkSession)
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
     picked = rows.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("y") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN)).select("id", "y")

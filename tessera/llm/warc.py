@@ -30,7 +30,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, shared_dir, spread_join, table
+from tessera.llm.common import bound_batches, cut, shared_dir, spread_join, table
 
 DATE = "2000-01-01T00:00:00Z"
 SOFTWARE = "tessera"
@@ -174,6 +174,7 @@ def remove(spark: SparkSession, base: str) -> None:
 def write_warc(pages: DataFrame, base: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_bytes: int = 0, roll: int = ROLL, shard_bytes: int = SHARD) -> DataFrame:
     """Writes the archive to the folder base, a URI, and returns its manifest. Payloads of fewer than revisit_bytes are never revisited."""
     spark = pages.sparkSession
+    bound_batches(spark)
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
