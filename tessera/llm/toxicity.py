@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches, cut, table
@@ -207,8 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The model, or None without both classes. labels must hold learnable rows only."""
     bound_batches(docs.sparkSession)
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
-    picked = rows.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("y") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN)).select("id", "y")
+    least = (F.xxhash64("id"), F.col("id"))
+    picked = rows.where("y = 1").orderBy(*least).limit(SAMPLE_TOXIC).unionByName(rows.where("y = 0").orderBy(*least).limit(SAMPLE_CLEAN))
     # The sample's bound makes the broadcast safe.
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text").where("text is not null")
     sample = cut(sample.repartition(sample.sparkSession.sparkContext.defaultParallelism))
