@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import Tables, cut
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -18,16 +18,25 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(links: DataFrame) -> DataFrame:
     """links: columns a, b (longs). Returns node, root for every node with a link to another; root is the least node reachable."""
-    edges = cut(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = _state(edges)
-    while state[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("lo")).select("u", F.least("u", "lo").alias("lo"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("lo").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("lo"))
-        small = large.join(lowest, "u").where("v != lo").select(F.col("v").alias("u"), F.col("lo").alias("v"))
-        edges = cut(small.unionByName(lowest.select("u", F.col("lo").alias("v"))).distinct())
-        before, state = state, _state(edges)
-        if before == state:
-            break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    tables, n = Tables(links.sparkSession, "components"), 0
+    try:
+        edges = tables.save(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "0")
+        state = _state(edges)
+        while state[0]:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("lo")).select("u", F.least("u", "lo").alias("lo"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("lo").alias("v")).distinct()
+            large = tables.save(large, f"{n}-large")
+            lowest = large.groupBy("u").agg(F.min("v").alias("lo"))
+            small = large.join(lowest, "u").where("v != lo").select(F.col("v").alias("u"), F.col("lo").alias("v"))
+            edges = tables.save(small.unionByName(lowest.select("u", F.col("lo").alias("v"))).distinct(), f"{n + 1}")
+            tables.drop(f"{n}")
+            tables.drop(f"{n}-large")
+            n += 1
+            before, state = state, _state(edges)
+            if before == state:
+                break
+        every = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        return cut(every)
+    finally:
+        tables.drop()
