@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, cut, fresh, partitions, table
+from tessera.llm.common import bound_batches, cut, partitions, spread_join, table
 from tessera.llm.components import components
 
 MAX_BITS = 3
@@ -163,12 +163,12 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 def groups(fps: DataFrame) -> DataFrame:
     """fps: columns id, fp. One row for each: id, fp, component_id (the least id of its component)."""
-    least = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    least = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     linked = components(near_links(least.select("fp")))
-    named = linked.join(least.withColumnRenamed("fp", "node"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
+    named = linked.join(least.select(F.col("fp").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    every = least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(every, "fp").select("id", "fp", "component_id")
+    every = cut(least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"))
+    return spread_join(fps, every, "fp", "n").select("id", "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:

@@ -239,7 +239,7 @@ def score(text: Column, model: dict | None) -> Column:
     *slopes, at = model["curve"]
     worst = worst_words(text, model["marks"], model["weights"], model["bias"])
     x = F.aggregate(F.zip_with(worst, F.array(*map(F.lit, slopes)), lambda f, a: f * a), F.lit(at), lambda a, b: a + b)
-    return F.coalesce(1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x)))), F.lit(0.0))
+    return F.when(x.isNotNull(), 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), x))))).otherwise(0.0)
 
 
 def held_out(id_: Column, folds: int = 4, fold: int = 2) -> Column:
