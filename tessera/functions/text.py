@@ -40,6 +40,8 @@ DEMOGRAPHIC = (
     r"\b\d+\s*-\s*year[- ]?old\b",
     r"___f|___m\b",
 )
+# Fixed value: the question of a record, before its reason.
+PROMPT = "<image>\nDescribe the findings of the chest x-ray given the following indications: "
 _U = "(?U)"
 
 
@@ -141,7 +143,7 @@ def prefixed_unless_held(reason: Column, *named: tuple[str, Column]) -> Column:
 
 def prompt(reason: Column, end: str = "") -> Column:
     """STR-14; one corpus ends the reason with a full stop."""
-    return F.concat(F.lit("<image>\nDescribe the findings of the chest x-ray given the following indications: "), reason, F.lit(f"{end}\n"))
+    return F.concat(F.lit(PROMPT), reason, F.lit(f"{end}\n"))
 
 
 def placeholders(c: Column) -> Column:

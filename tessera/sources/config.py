@@ -19,5 +19,6 @@ class Config:
 
     @classmethod
     def of(cls, env: Mapping[str, str] = os.environ) -> Config:
+        # The variables' names.
         names = {"data_dir": "DATA_DIR", "sweep_dir": "SWEEP_DIR", "run_name": "RUN_NAME", "cat_name": "CAT_NAME", "n_samples": "N_SAMPLES", "seed": "SEED", "csv_path": "CHEX_CSV"}
         return cls(**{f: type(getattr(cls, f))(env[n]) for f, n in names.items() if n in env})
