@@ -148,14 +148,15 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(text: str, overlap: int) -> Iterator[str]:
-    """The text, or parts of it that overlap by more than an item and begin at white space."""
+    """The text, or parts of it that overlap by more than an item and begin at white space where there is some."""
     at = 0
     while True:
         stop = at + _CHUNK + overlap
         yield text[at:stop]
         if stop >= len(text):
             return
-        at = max(at + 1, text.rfind(" ", at + 1, at + _CHUNK + 1))
+        space = text.rfind(" ", at + 1, at + _CHUNK + 1)
+        at = space if space > at else at + _CHUNK
 
 
 def template_windows(docs: DataFrame, sizes: list[int], plain: bool, known: np.ndarray | None, overlap: int) -> DataFrame:

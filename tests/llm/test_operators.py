@@ -263,9 +263,10 @@ def test_decontaminate(spark, world):
 def test_decontaminate_slots_must_be_consistent(spark):
     item = spark.createDataFrame([(1, "Anna buys 4 pens. Then Anna sells 2 pens to her friend for 9 dollars and goes home.")], "item_id long, text string")
     docs = [(1, "Paul buys 6 pens. Then Paul sells 3 pens to her friend for 8 euros and goes home."), (2, "Paul buys 6 pens. Then Peter sells 3 pens to her friend for 8 euros and goes home."), (3, "pad " * 400_000 + "Paul buys 6 pens. Then Paul sells 3 pens to her friend for 8 euros and goes home.")]
+    docs.append((4, "x" * 1_500_000 + " Paul buys 6 pens. Then Paul sells 3 pens to her friend for 8 euros and goes home."))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for few in (0, decontaminate.FEW):
-        assert {r["id"]: r["changed"] for r in decontaminate.contaminated(df, item, few=few).collect()} == {1: True, 3: True}
+        assert {r["id"]: r["changed"] for r in decontaminate.contaminated(df, item, few=few).collect()} == {1: True, 3: True, 4: True}
 
 
 def test_html(spark, world):
