@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 import tempfile
 import uuid
@@ -24,6 +25,17 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Gives a Python worker's freed memory back to the system; workers idle on between tasks, beside the next stage's."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table by path; only Spark's readers open it."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

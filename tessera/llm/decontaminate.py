@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, cut, fresh, table
+from tessera.llm.common import bound_batches, cut, fresh, table, trim
 
 WORDS, SHARE, LITERAL, FEW = 5, 0.8, 2, 4_000_000
 UNITS = tuple("mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg gram grams lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent mph kph kmh degree degrees".split())
 GIVEN = tuple("john mary james robert michael david william richard joseph thomas charles daniel matthew mark paul george peter tom tim bob bill jack sam ben alex max leo anna emma olivia sarah susan karen lisa nancy betty helen sandra laura alice jane julia kate lucy maria tina amy emily jessica jennifer linda patricia elizabeth".split())
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SLOT = {"number": 0xA24BAED4963EE407, "name": 0x9FB21C651E98DF25, "unit": 0xC13FA9A902A6328F}
-_CHUNK = 1 << 19
+_CHUNK = 1 << 18
 _END = np.array([ord(c) for c in ".!?:\n"])
 
 
@@ -92,7 +92,7 @@ def template(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     ends = np.searchsorted(edge, starts, side="right")
     ends = np.r_[edge, len(codes)][ends]
-    power, inverse = _powers(1 << max(20, int(len(codes)).bit_length()))
+    power, inverse = _powers(1 << max(19, int(len(codes)).bit_length()))
     sums = np.r_[np.uint64(0), np.cumsum(low[codes] * power[: len(codes)])]
     words = (sums[ends] - sums[starts]) * inverse[starts]
     owner = np.searchsorted(stops, starts, side="right")
@@ -181,6 +181,7 @@ def template_windows(docs: DataFrame, sizes: list[int], plain: bool, known: np.n
                         if waiting > _CHUNK:
                             yield from scanned(batch, rows, parts)
                             rows, parts, waiting = [], [], 0
+        trim()
 
     def scanned(batch: pa.RecordBatch, rows: list[int], parts: list[str]) -> Iterator[pa.RecordBatch]:
         owner, words, value = template(parts)

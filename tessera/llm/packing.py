@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
-from tessera.llm.common import bound_batches, cut, table
+from tessera.llm.common import bound_batches, cut, table, trim
 
 SIZE = 4096
 END_ID = 1
@@ -59,6 +59,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.record_batch([part.column(0).take(pa.array(take)), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=False))], names=["id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
+        trim()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut_up, schema)
 

@@ -19,10 +19,10 @@ import numpy as np
 SAFE = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ňŊ-ſ]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼-¾]+|[0-9²³¹¼-¾]|(?:[^\w]|_)+")
 #: Chunks that a worker's table holds, and bytes of them; the half met most often, without long ones, stays when it is full.
-CHUNKS, CHUNK_BYTES, LONG = 400_000, 32 << 20, 64
+CHUNKS, CHUNK_BYTES, LONG = 250_000, 32 << 20, 64
 _SPACE = re.compile(r"[\t\n\r ]")
 END = "</w>"
-_TOGETHER, _BYTES = 256, 1 << 20
+_TOGETHER, _BYTES = 256, 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,7 +138,7 @@ def _together(texts: list[str], t, ends: np.ndarray, table: _Table, full: bool =
     starts, stops = edges[::2], edges[1::2]
     if not len(starts):
         return [b""] * len(texts)
-    power, inverse = _powers(1 << max(21, len(data).bit_length()))
+    power, inverse = _powers(1 << max(20, len(data).bit_length()))
     sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])]
     hashes = (sums[stops] - sums[starts]) * inverse[starts]
     hashes = (hashes ^ hashes >> np.uint64(32)) * _ODD

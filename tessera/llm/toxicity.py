@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, cut, table
+from tessera.llm.common import bound_batches, cut, table, trim
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, WORDS = 2000, 4000, 20_000
 LANDMARKS = 128
@@ -45,7 +45,7 @@ _STEPS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))
 _LONG = 48
 _WORD = re.compile(r"[^\W\d_](?:\S*[^\W\d_])?")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][^\w\s]*\s+){2,}[^\W\d_](?!\w)")
-_CACHE = 300_000
+_CACHE = 150_000
 
 
 def words_of(text: str | None) -> set[str]:
@@ -160,22 +160,25 @@ def train_words(bags: list[list[str]], first: list[str], clean: list[str]) -> tu
 
 def worst_words(text: Column, marks: Landmarks, weights: np.ndarray, bias: float) -> Column:
     """The TOP highest scores of a text's distinct words, the bias where it has fewer; null without a word."""
-    cache: dict[str, float] = {}
+
+    def scored(bags: list[set[str]], cache: dict[str, float]) -> pa.Array:
+        new = [w for w in set().union(*bags) if w not in cache]
+        if len(cache) + len(new) > _CACHE:
+            cache.clear()
+            new = list(set().union(*bags))
+        for n in range(0, len(new), 4096):
+            part = new[n : n + 4096]
+            cache.update(zip(part, (marks.kernel(part) @ weights + bias).tolist(), strict=True))
+        return pa.array([heapq.nlargest(TOP, map(cache.__getitem__, b)) + [bias] * (TOP - len(b)) if b else None for b in bags], pa.list_(pa.float64()))
 
     @F.arrow_udf("array<double>")
-    def of(texts: pa.Array) -> pa.Array:
-        out = []
-        for k in range(0, len(texts), 64):
-            bags = [words_of(t) for t in texts.slice(k, 64).to_pylist()]
-            new = [w for w in set().union(*bags) if w not in cache]
-            if len(cache) + len(new) > _CACHE:
-                cache.clear()
-                new = list(set().union(*bags))
-            for n in range(0, len(new), 8192):
-                part = new[n : n + 8192]
-                cache.update(zip(part, (marks.kernel(part) @ weights + bias).tolist(), strict=True))
-            out += [heapq.nlargest(TOP, map(cache.__getitem__, b)) + [bias] * (TOP - len(b)) if b else None for b in bags]
-        return pa.array(out, pa.list_(pa.float64()))
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        cache: dict[str, float] = {}
+        for texts in batches:
+            parts = [scored([words_of(t) for t in texts.slice(k, 64).to_pylist()], cache) for k in range(0, len(texts), 64)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
+        cache.clear()
+        trim()
 
     return of(text)
 
