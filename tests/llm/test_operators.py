@@ -494,3 +494,39 @@ def test_search_empties_what_best_fit_leaves():
     bins = [[7, 2], [5, 3], [3]]  # the 3 goes in for a 2, which then moves
     packing.swap_search(bins, 10, 2)
     assert sorted(map(sum, bins)) == [0, 10, 10]
+
+
+def family(seed, n, changed, length=400):
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(9000)}" for _ in range(length)]
+    texts = []
+    for k in range(n):
+        t = list(base)
+        for at in rnd.sample(range(length), rnd.choice(changed)):
+            t[at] = f"n{k}x{at}"
+        texts.append(" ".join(t))
+    return texts
+
+
+@pytest.mark.parametrize("limit", [40, 2048])
+def test_similar_families_that_straddle_the_similarity(spark, monkeypatch, limit):
+    """Most of a family's pairs are below 0.8, but links through its other texts join it as a plain comparison does."""
+    monkeypatch.setattr(similar, "LIMIT", limit)
+    texts = family(1, 150, (4, 5, 6), 200) + family(2, 60, (5, 6), 200)
+    sets = [shingles(t) for t in texts]
+    roots = join_up(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    got = {r["id"]: r["root"] for r in similar.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len({(roots[i], got[i]) for i in got}) == len(set(roots)) == len(set(got.values()))
+
+
+def test_exact_links_of_blocks_are_those_of_one_task(spark, monkeypatch):
+    rnd = random.Random(4)
+    sets = [sorted(rnd.sample(range(30), 12)) for _ in range(160)]
+    df = spark.createDataFrame(list(enumerate(sets)), "key long, shingles array<bigint>")
+    loose = spark.range(160).selectExpr("id as node", "0L as root")
+    want = join_up(160, lambda i, j: len(set(sets[i]) & set(sets[j])) >= 0.5 * len(set(sets[i]) | set(sets[j])))
+    for limit in (7, 2048):
+        monkeypatch.setattr(similar, "LIMIT", limit)
+        links = {frozenset((r["a"], r["b"])) for r in similar.exact_links(loose, df, 0.5).collect()}
+        got = join_up(160, lambda i, j: frozenset((i, j)) in links)
+        assert got == want
