@@ -530,3 +530,13 @@ def test_exact_links_of_blocks_are_those_of_one_task(spark, monkeypatch):
         links = {frozenset((r["a"], r["b"])) for r in similar.exact_links(loose, df, 0.5).collect()}
         got = join_up(160, lambda i, j: frozenset((i, j)) in links)
         assert got == want
+
+
+def test_similar_loses_nothing_in_large_band_keys(spark, monkeypatch):
+    """Many band keys hold more than LIMIT texts; what a plain comparison joins is joined."""
+    monkeypatch.setattr(similar, "LIMIT", 4)
+    texts = [t for seed in range(30) for t in family(seed + 10, 12, (3,), 200)]
+    got = {r["id"]: r["root"] for r in similar.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [shingles(t) for t in texts]
+    roots = join_up(len(texts), lambda i, j: i // 12 == j // 12 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert len({(roots[i], got[i]) for i in got}) == len(set(roots)) == len(set(got.values()))
