@@ -540,3 +540,12 @@ def test_similar_loses_nothing_in_large_band_keys(spark, monkeypatch):
     sets = [shingles(t) for t in texts]
     roots = join_up(len(texts), lambda i, j: i // 12 == j // 12 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     assert len({(roots[i], got[i]) for i in got}) == len(set(roots)) == len(set(got.values()))
+
+
+def test_repeated_lines_leave_the_fingerprint_alone():
+    rnd = random.Random(8)
+    text = " ".join(f"w{rnd.randrange(9000)}" for _ in range(600))
+    line = " " + " ".join(f"b{k}" for k in range(12))
+    a, b = similar.sketch(text)[0], similar.sketch(text + line * 20)[0]
+    x, y = shingles(text), shingles(text + line * 20)
+    assert len(x & y) >= 0.9 * len(x | y) and np.bitwise_count(a ^ b).sum() <= similar.bound(0.8)
