@@ -2,8 +2,8 @@
 
 Only lengths matter to a packing, so it is planned over the histogram of piece lengths, which has at most SIZE
 entries whatever the corpus: best-fit decreasing moves whole runs of bins with equal room from one class of room to
-another. The least full bins are then searched: documents move, or are exchanged one for one or two for one, between
-underfull bins, each step raising the sum of squared fills, until bins empty or nothing helps. The plan says
+another. All underfull bins are then searched, bins with equal loads at once: documents move, or are exchanged one for one
+or two for one, between them, each step raising the sum of squared fills, until bins empty or nothing helps. The plan says
 which ranks of each length go to which run of bins; pieces are ranked within their length without gathering
 one, and join the plan on (length, block of ranks), so no length, however common, meets in one task.
 
@@ -14,9 +14,10 @@ empty table gives an empty result; null ids stay null; other columns play no par
 from __future__ import annotations
 
 import heapq
+import itertools
 import zlib
 from bisect import bisect_left, insort
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,10 @@ from tessera.llm.common import bound_batches, cut, table, trim
 
 SIZE = 4096
 END_ID = 1
-#: Bins that the local search takes up, the least full first; the rest stay as best fit left them.
-SEARCHED = 512
 _RANK_BUCKETS = 256
 _BLOCK = 16
+#: Lengths in a bin, sorted.
+Load = tuple[int, ...]
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END_ID, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -100,87 +101,173 @@ def best_fit(counts: dict[int, int], size: int) -> tuple[list[tuple[int, int, in
     return out, bins, rooms
 
 
-def swap_search(bins: list[list[int]], size: int, least: int) -> None:
-    """Empties bins in place where moves and exchanges allow it, until no more than least hold anything.
+class _Open:
+    """Loads (sorted lengths) of underfull bins, how many bins have each, and by sum of at most two of a load's lengths the rooms there are."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.count = size, Counter()
+        self.loads: list[dict[int, dict[Load, None]]] = [{} for _ in range(size + 1)]
+        self.rooms: list[list[int]] = [[] for _ in range(size + 1)]
+        self.reach = np.full(size + 1, -1, dtype=np.int64)  # the sum and the largest room: what a load takes in at most in exchange
+
+    def _backs(self, load: Load) -> set[int]:
+        return {0, *load, *(y + z for y, z in itertools.combinations(load, 2))}
+
+    def put(self, load: Load, n: int) -> None:
+        room = self.size - sum(load)
+        if not self.count[load]:
+            for s in self._backs(load):
+                if room not in self.loads[s]:
+                    self.loads[s][room] = {}
+                    insort(self.rooms[s], room)
+                    self.reach[s] = s + self.rooms[s][-1]
+                self.loads[s][room][load] = None
+        self.count[load] += n
+
+    def take(self, load: Load, n: int) -> None:
+        self.count[load] -= n
+        if self.count[load]:
+            return
+        del self.count[load]
+        room = self.size - sum(load)
+        for s in self._backs(load):
+            del self.loads[s][room][load]
+            if not self.loads[s][room]:
+                del self.loads[s][room]
+                self.rooms[s].pop(bisect_left(self.rooms[s], room))
+                self.reach[s] = s + self.rooms[s][-1] if self.rooms[s] else -1
+
+    def best(self, giver: Load) -> tuple[int, int, Load] | None:
+        """(length given, sum taken back, receiver's load): the largest gain, then the least room."""
+        best, slack = None, self.size - sum(giver)  # a receiver must get fuller than the giver was
+        for x in sorted(set(giver), reverse=True):
+            for s in np.flatnonzero(self.reach[:x] >= x).tolist():
+                if best and x - s < best[0][0]:
+                    break
+                room = self.rooms[s][bisect_left(self.rooms[s], x - s)]
+                if room - (x - s) >= slack:
+                    continue
+                if best is None or (x - s, -room) > best[0]:
+                    best = ((x - s, -room), x, s, next(iter(self.loads[s][room])))
+                break
+            if best and not best[2]:
+                break
+        return best and best[1:]
+
+
+def _without(load: Load, lengths: tuple[int, ...]) -> Load:
+    left = list(load)
+    for x in lengths:
+        left.remove(x)
+    return tuple(left)
+
 
-    The least full bin gives: each of its documents moves to the bin it fills best, or is exchanged for a smaller
+def search(loads: dict[Load, int], size: int, least: int) -> Counter:
+    """loads: how many bins have each load (sorted lengths). The same lengths in as few bins as moves and exchanges allow, least at least.
+
+    The least full bins give: each of their documents moves to the bin it fills best, or is exchanged for a smaller
     one, or for two that are smaller together, where the receiver gets fuller. Every step raises the sum of
-    squared fills. A bin that can't give any more is left.
+    squared fills and is made by as many bins with the same loads as there are. A bin that can't give any more may still receive.
     """
-    fill = [sum(b) for b in bins]
-    todo = [(f, i) for i, f in enumerate(fill) if f]
-    heapq.heapify(todo)
-    full, stuck = sum(f > 0 for f in fill), 0
-    while todo and full > least and stuck < 32:
-        f, giver = heapq.heappop(todo)
-        if f != fill[giver] or not f:
+    open_, done = _Open(size), Counter()
+    todo: list[tuple[int, Load]] = []
+
+    def add(load: Load, n: int) -> None:
+        if sum(load) == size:
+            done[load] += n
+        elif load:
+            if load not in open_.count:
+                heapq.heappush(todo, (sum(load), load))
+            open_.put(load, n)
+
+    for load, n in loads.items():
+        add(load, n)
+    full = sum(n for load, n in loads.items() if load)
+    while todo and full > least:
+        load = heapq.heappop(todo)[1]
+        many = open_.count.get(load, 0)
+        if not many:
             continue
-        moved = True
-        while moved and fill[giver]:
-            moved, best = False, None
-            for x in sorted(set(bins[giver]), reverse=True):
-                for i, b in enumerate(bins):
-                    room = size - fill[i]
-                    if i == giver or not fill[i] or not room or fill[i] < fill[giver]:
-                        continue
-                    backs = [()] if x <= room else []
-                    backs += [(y,) for y in set(b) if 0 < x - y <= room]
-                    backs += [(y, z) for j, y in enumerate(b) for z in b[j + 1 :] if 0 < x - y - z <= room]
-                    for back in backs:
-                        gain = x - sum(back)
-                        if best is None or (gain, -room) > best[0]:
-                            best = ((gain, -room), x, i, back)
-                if best and not best[3]:
-                    break
-            if best:
-                (gain, _), x, i, back = best
-                bins[giver].remove(x)
-                bins[i].append(x)
-                for y in back:
-                    bins[i].remove(y)
-                    bins[giver].append(y)
-                fill[giver] -= gain
-                fill[i] += gain
-                moved = True
-        full -= not fill[giver]
-        stuck = 0 if not fill[giver] else stuck + 1
+        n = min(many - many // 2, full - least)  # the others may receive
+        open_.take(load, n)
+        giver = load
+        while giver and (found := open_.best(giver)):
+            x, s, receiver = found
+            back = () if not s else (s,) if s in receiver else next(p for p in itertools.combinations(receiver, 2) if sum(p) == s)
+            if (m := min(n, open_.count[receiver])) < n:
+                add(giver, n - m)
+                n = m
+            open_.take(receiver, n)
+            add(tuple(sorted((*_without(receiver, back), x))), n)
+            giver = tuple(sorted((*_without(giver, (x,)), *back)))
+        if giver:
+            open_.put(giver, n)  # may still receive
+        else:
+            full -= n
+        if giver != load and load in open_.count:
+            heapq.heappush(todo, (sum(load), load))
+    done.update(open_.count)
+    return done
+
+
+def swap_search(bins: list[list[int]], size: int, least: int) -> None:
+    """search over single bins, in place."""
+    loads = search(Counter(tuple(sorted(b)) for b in bins), size, least)
+    found = [list(load) for load, n in loads.items() for _ in range(n)]
+    bins[:] = found + [[] for _ in range(len(bins) - len(found))]
+
+
+def _pieces(pool: list[tuple[int, int]], many: int) -> list[tuple[int, int]]:
+    """Takes many numbers out of a pool of runs (first, many)."""
+    out = []
+    while many:
+        first, n = pool.pop()
+        if n > many:
+            pool.append((first + many, n - many))
+            n = many
+        out.append((first, n))
+        many -= n
+    return out
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> pd.DataFrame:
     """Runs: the ranks first..first+many-1 of a length go to bins bin..bin+many-1, each at the offset."""
-    runs, bins, rooms = best_fit(counts, size)
-    table_ = np.array(runs, dtype=np.int64).reshape(-1, 5)
+    runs, bins, _ = best_fit(counts, size)
     least = -(-sum(n * c for n, c in counts.items()) // size)
     if bins > least:
-        few, want = [], SEARCHED
-        for room in sorted(rooms, reverse=True):
-            for first, many in rooms[room]:
-                few += range(first, first + min(many, want - len(few)))
-        chosen = np.array(sorted(few), dtype=np.int64)
-        lo, hi = np.searchsorted(chosen, table_[:, 3]), np.searchsorted(chosen, table_[:, 3] + table_[:, 2])
-        members: dict[int, list[tuple[int, int]]] = {int(b): [] for b in chosen}
-        kept = [table_[lo == hi]]
-        for (length, rank, many, first, offset), a, b in zip(table_[lo < hi].tolist(), lo[lo < hi], hi[lo < hi], strict=True):
-            at = first
-            for one in [*chosen[a:b].tolist(), first + many]:
-                if one > at:
-                    kept.append(np.array([[length, rank + at - first, one - at, at, offset]]))
-                if one < first + many:
-                    members[one].append((length, rank + one - first))
-                at = one + 1
-        loads = [[n for n, _ in members[int(b)]] for b in chosen]
-        swap_search(loads, size, len(chosen) - (bins - least))
-        ranks: dict[int, list[int]] = {}
-        for own in members.values():
-            for length, rank in own:
-                ranks.setdefault(length, []).append(rank)
-        for b, load in zip(chosen.tolist(), loads, strict=True):
-            offset = 0
-            for length in load:
-                kept.append(np.array([[length, ranks[length].pop(), 1, b, offset]]))
-                offset += length
-        table_ = np.concatenate(kept)
-    return pd.DataFrame(table_, columns=["length", "first", "many", "bin", "offset"])
+        # Between two places where a run begins or ends, bins hold the same runs and have equal loads.
+        begin: dict[int, list[tuple[int, int, int, int, int]]] = {}
+        for r in runs:
+            begin.setdefault(r[3], []).append(r)
+        places = sorted({*begin, *(r[3] + r[2] for r in runs)})
+        held, kept = [], []
+        pool: dict[int, list[tuple[int, int]]] = {}
+        loads: Counter = Counter()
+        free: list[tuple[int, int]] = []
+        full = 0
+        for at, stop in itertools.pairwise(places):
+            held = [r for r in held if r[3] + r[2] > at] + begin.get(at, [])
+            many = stop - at
+            if sum(r[0] for r in held) == size:
+                kept += [(length, rank + at - first, many, at, offset) for length, rank, _, first, offset in held]
+                full += many
+                continue
+            for length, rank, _, first, _ in held:
+                pool.setdefault(length, []).append((rank + at - first, many))
+            loads[tuple(sorted(r[0] for r in held))] += many
+            free.append((at, many))
+        free.reverse()
+        for load, n in search(loads, size, least - full).items():
+            for at, many in _pieces(free, n):
+                offset = 0
+                for length in load:
+                    start = at
+                    for rank, m in _pieces(pool[length], many):
+                        kept.append((length, rank, m, start, offset))
+                        start += m
+                    offset += length
+        runs = kept
+    return pd.DataFrame(np.array(runs, dtype=np.int64).reshape(-1, 5), columns=["length", "first", "many", "bin", "offset"])
 
 
 def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:

@@ -549,3 +549,14 @@ def test_repeated_lines_leave_the_fingerprint_alone():
     a, b = similar.sketch(text)[0], similar.sketch(text + line * 20)[0]
     x, y = shingles(text), shingles(text + line * 20)
     assert len(x & y) >= 0.9 * len(x | y) and np.bitwise_count(a ^ b).sum() <= similar.bound(0.8)
+
+
+def test_search_takes_up_every_underfull_bin():
+    """More bins than any part of them, with single loads and with many equal ones."""
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1200, 1801, 2500)
+    for counts, most in ((Counter(lengths.tolist()), 1065), (Counter({n: 40 * c for n, c in Counter(lengths[:200].tolist()).items()}), None)):
+        bins = packing.best_fit(counts, 4096)[1]
+        got = packing.plan(counts, 4096)
+        used = {b + k for b, m in zip(got["bin"], got["many"], strict=True) for k in range(m)}
+        assert len(used) < bins * 0.99 and len(used) <= (most or bins)
