@@ -7,8 +7,11 @@ parallel (one difference of places), their slots must be consistent: what stood
 value throughout. An item is found in a document if consistent parts hold SHARE of its windows, be it verbatim or
 with other numbers, names and units.
 
+The words under a window of the item are joined as they are, too, in lower case without placeholders: what is a name
+depends on capitals, so a passage whose case was changed has other templates. A window counts that is found by either.
+
 Windows of an item need LITERAL words that aren't placeholders; an item without such windows is compared by its plain
-words instead. Items shorter than a window are one window of their length. The benchmark's window hashes go to every
+words alone. Items shorter than a window are one window of their length. The benchmark's window hashes go to every
 worker while they are no more than FEW; beyond that all windows of the documents are exchanged and joined.
 
 Defined cases: null or wordless items match nothing; a null text matches nothing; equal rows are found alike; rows
@@ -76,8 +79,8 @@ def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def template(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, template word, slot value or 0) of each word of the texts."""
+def template(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, template word, slot value or 0, place among the plain words) of each template word of the texts; (text number, lower-case word) of each plain word."""
     low, kind, up = _tables()
     codes = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
     stops = np.cumsum([len(t) + 1 for t in texts])
@@ -89,7 +92,7 @@ def template(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.r_[0, edge]
     starts = starts[k[starts] > 0]
     if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.uint64))
     ends = np.searchsorted(edge, starts, side="right")
     ends = np.r_[edge, len(codes)][ends]
     power, inverse = _powers(1 << max(19, int(len(codes)).bit_length()))
@@ -103,11 +106,12 @@ def template(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     name = capital & (~first | _within(words, _known(GIVEN)))
     unit = np.r_[False, number[:-1] & ~first[1:]] & _within(words, _known(UNITS))
     value = np.where(number | name | unit, np.maximum(words, np.uint64(1)), np.uint64(0))
+    plain = words
     words = words.copy()
     for flag, slot in ((number, "number"), (name, "name"), (unit, "unit")):
         words[flag] = np.uint64(_SLOT[slot])
     keep = ~np.r_[False, name[1:] & name[:-1] & ~first[1:]]
-    return owner[keep], words[keep], value[keep]
+    return owner[keep], words[keep], value[keep], np.flatnonzero(keep), owner, plain
 
 
 def windows(words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,21 +134,26 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The benchmark's windows: item, of (windows of the item), plain, hash, place, size, values."""
     for batch in batches:
         for item, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            owner, words, value = template([text or ""])
+            owner, words, value, base, all_owner, all_words = template([text or ""])
             if not len(words):
                 continue
             size = min(WORDS, len(words))
             at, h = windows(words, owner, size)
             literal = (value[at[:, None] + np.arange(size)] == 0).sum(axis=1)
             keep = literal >= min(LITERAL, size)
-            plain = not keep.any()
-            if plain:
-                at, h = windows(np.where(value > 0, value, words), owner, size)
-                h ^= np.uint64(_Q)
-                keep = np.ones(len(at), dtype=bool)
-            at, h = at[keep], h[keep]
+            both = keep.any()
+            if both:
+                at, h = at[keep], h[keep]
             n = len(at)
-            yield pa.record_batch([pa.array([item.as_py()] * n, batch.column(0).type), pa.array([n] * n, pa.int64()), pa.array([plain] * n), pa.array(h.view(np.int64)), pa.array(at), pa.array([size] * n, pa.int32()), pa.array(_values(value, at, size), pa.list_(pa.int64()))], names=["item", "of", "plain", "hash", "place", "size", "values"])
+            spans = base[at + size - 1] - base[at] + 1
+            found = [(False, h, at, np.full(n, size), _values(value, at, size))] * bool(both)
+            for length in np.unique(spans):
+                own = at[spans == length]
+                starts, plain = windows(all_words, all_owner, int(length))
+                found.append((True, plain[np.searchsorted(starts, base[own])] ^ np.uint64(_Q), own, np.full(len(own), length), [[]] * len(own)))
+            for plain, h, at, sizes, values in found:
+                k = len(at)
+                yield pa.record_batch([pa.array([item.as_py()] * k, batch.column(0).type), pa.array([n] * k, pa.int64()), pa.array([plain] * k), pa.array(h.view(np.int64)), pa.array(at), pa.array(sizes, pa.int32()), pa.array(values, pa.list_(pa.int64()))], names=["item", "of", "plain", "hash", "place", "size", "values"])
 
 
 def _segments(text: str, overlap: int) -> Iterator[str]:
@@ -159,8 +168,8 @@ def _segments(text: str, overlap: int) -> Iterator[str]:
         at = space if space > at else at + _CHUNK
 
 
-def template_windows(docs: DataFrame, sizes: list[int], plain: bool, known: np.ndarray | None, overlap: int) -> DataFrame:
-    """docs: id, key, text. The windows (of known hashes only, if given): id, key, hash, at, values."""
+def template_windows(docs: DataFrame, sizes: list[int], plain: list[int], known: np.ndarray | None, overlap: int) -> DataFrame:
+    """docs: id, key, text. The windows of these sizes, of template and plain words (of known hashes only, if given): id, key, hash, at, values (none if plain)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,18 +193,19 @@ def template_windows(docs: DataFrame, sizes: list[int], plain: bool, known: np.n
         trim()
 
     def scanned(batch: pa.RecordBatch, rows: list[int], parts: list[str]) -> Iterator[pa.RecordBatch]:
-        owner, words, value = template(parts)
-        row = np.array(rows)[owner]
-        for size in sizes:
-            for mark, use in ((0, words), (_Q, np.where(value > 0, value, words)))[: 1 + plain]:
-                at, h = windows(use, owner, size)
+        owner, words, value, _, all_owner, all_words = template(parts)
+        for mark, lengths, whose, use in ((0, sizes, owner, words), (_Q, plain, all_owner, all_words)):
+            row = np.array(rows)[whose]
+            for size in lengths:
+                at, h = windows(use, whose, size)
                 h ^= np.uint64(mark)
                 ok = np.ones(len(h), dtype=bool) if known is None else _within(h, known)
                 at, h = at[ok], h[ok]
                 if len(at):
                     take = pa.array(row[at])
+                    values = [[]] * len(at) if mark else _values(value, at, size)
                     # Parts of one text lie far apart, so that none continues another.
-                    yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), pa.array(at + (owner[at] << 32)), pa.array(_values(value, at, size), pa.list_(pa.int64()))], names=["id", "key", "hash", "at", "values"])
+                    yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array(h.view(np.int64)), pa.array(at + (whose[at] << 32)), pa.array(values, pa.list_(pa.int64()))], names=["id", "key", "hash", "at", "values"])
 
     return docs.select("id", "key", "text").mapInArrow(found, f"id {kind}, key bigint, hash bigint, at bigint, values array<bigint>")
 
@@ -206,20 +216,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
     longest = items.agg(F.max(F.length("text"))).first()[0] or 0
     known = cut(items.mapInArrow(_items, f"item {items.schema['item'].dataType.simpleString()}, of bigint, plain boolean, hash bigint, place bigint, size int, values array<bigint>"))
-    shape = known.agg(F.collect_set("size"), F.coalesce(F.max("plain"), F.lit(False)), F.count(F.lit(1))).first()
+    shape = known.agg(F.collect_set(F.expr("if(plain, null, size)")), F.collect_set(F.expr("if(plain, size, null)")), F.count(F.lit(1))).first()
     small = shape[2] <= few
     hashes = np.unique(np.array([r[0] for r in known.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64)) if small else None
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    hits = template_windows(rows, sorted(shape[0]), shape[1], hashes, 2 * longest + 1024)
+    hits = template_windows(rows, sorted(shape[0]), sorted(shape[1]), hashes, 2 * longest + 1024)
     own = known.select("item", "of", "plain", "hash", "place", F.col("values").alias("own"))
     both = hits.join(F.broadcast(own) if small else own, "hash")
     pairs = F.filter(F.arrays_zip("own", "values"), lambda x: x["own"] != 0)
-    both = both.select("id", "key", "item", "of", "plain", "place", (F.col("at") - F.col("place")).alias("shift"), pairs.alias("pairs"))
+    both = both.select("id", "key", "item", "of", "plain", "place", F.expr("if(plain, 0, at - place)").alias("shift"), pairs.alias("pairs"))
     parts = both.groupBy("id", "key", "item", "of", "plain", "shift").agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     single = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["own"])))
     same = F.forall("pairs", lambda x: x["own"] == x["values"])
-    parts = parts.where(single & (~F.col("plain") | same)).withColumn("same", same)
-    out = parts.groupBy("id", "key", "item", "of").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("found"), (~F.max("same")).alias("changed"))
+    parts = parts.where(single).withColumn("same", same)
+    places = F.array_distinct(F.flatten(F.collect_list("places")))
+    verbatim = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("plain"), F.col("places")))))) >= F.col("of") * SHARE
+    out = parts.groupBy("id", "key", "item", "of").agg(F.size(places).cast("long").alias("found"), (~(verbatim | F.coalesce(F.max(F.when(~F.col("plain"), F.col("same"))), F.lit(False)))).alias("changed"))
     return out.where(F.col("found") >= F.col("of") * SHARE).select("id", "key", "item", "found", "of", "changed")
 
 

@@ -560,3 +560,13 @@ def test_search_takes_up_every_underfull_bin():
         got = packing.plan(counts, 4096)
         used = {b + k for b, m in zip(got["bin"], got["many"], strict=True) for k in range(m)}
         assert len(used) < bins * 0.99 and len(used) <= (most or bins)
+
+
+def test_decontaminate_passages_of_changed_case(spark):
+    texts = ["Anna buys 4 pens. Then Anna sells 2 pens to her friend for 9 dollars and goes home.", "The ship left New York City and met Mary Ann Smith near Long Beach in the morning of that day."]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = [f"so: {f(t)} yes" for t in texts for f in (str, str.upper, str.lower, str.title)] + ["PAUL BUYS 6 PENS. THEN PETER SELLS 3 PENS TO HER FRIEND FOR 8 EUROS AND GOES HOME."]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for few in (0, decontaminate.FEW):
+        got = {(r["id"], r["item"], r["changed"], r["found"] == r["of"]) for r in decontaminate.contaminated(df, items, few=few).collect()}
+        assert got == {(k, k // 4, False, True) for k in range(8)}
