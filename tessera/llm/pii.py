@@ -70,13 +70,16 @@ def _sums(sizes: str) -> str:
 
 
 def _found(kind: str, pattern: str) -> str:
-    """SQL: array<struct<start, end, m, near>> of the matches of a pattern in `text`; near: what stands before, back to the match before."""
+    """SQL: array<struct<start, end, m, near>> of the matches of a pattern in `text`; near: the CONTEXT characters before."""
     lit = "r'" + pattern.replace("'", "''") + "'"
     gate = f"contains(text, '{_NEEDS[kind]}')" if kind in _NEEDS else "digits"
     matches, gaps = f"regexp_extract_all(text, {lit}, 0)", f"split(text, {lit}, -1)"
     places = _sums("z")
     sizes = "transform(m, (x, i) -> length(g[i]) + length(x))"
-    body = f"transform(array({sizes}), z -> transform(array({places}), p -> transform(m, (x, i) -> named_struct('start', p[i] + length(g[i]), 'end', p[i] + length(g[i]) + length(x), 'm', x, 'near', lower(right(g[i], {CONTEXT})))))[0])[0]"
+    # A match has one character at least, so the CONTEXT pieces before hold the context.
+    pieces = f"array_join(transform(sequence(greatest(0, i - {CONTEXT}), i - 1), j -> concat(right(g[j], {CONTEXT}), right(m[j], {CONTEXT}))), '')"
+    near = f"lower(right(if(i = 0 or length(g[i]) >= {CONTEXT}, g[i], concat({pieces}, g[i])), {CONTEXT}))"
+    body = f"transform(array({sizes}), z -> transform(array({places}), p -> transform(m, (x, i) -> named_struct('start', p[i] + length(g[i]), 'end', p[i] + length(g[i]) + length(x), 'm', x, 'near', {near})))[0])[0]"
     none = "cast(array() as array<struct<start: int, end: int, m: string, near: string>>)"
     whole = f"transform(array({matches}), m -> if(size(m) = 0, {none}, transform(array({gaps}), g -> {body})[0]))[0]"
     return f"if({gate}, {whole}, {none})"

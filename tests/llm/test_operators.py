@@ -570,3 +570,11 @@ def test_decontaminate_passages_of_changed_case(spark):
     for few in (0, decontaminate.FEW):
         got = {(r["id"], r["item"], r["changed"], r["found"] == r["of"]) for r in decontaminate.contaminated(df, items, few=few).collect()}
         assert got == {(k, k // 4, False, True) for k in range(8)}
+
+
+def test_pii_context_reaches_over_earlier_matches(spark):
+    texts = ["Phone: 212-555-1234, 212-555-9876", "SSN 123-45-6789, 123-45-6780", "phone 1 2 3 4,5,6,7,8,9,0,1,2 212-555-9876", "phone 212-555-1234 and then at some length 212-555-9876", "212-555-1234, 212-555-9876"]
+    rows = records(pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    got = {r["id"]: [(s["kind"], s["start"], s["end"], s["score"]) for s in r["spans"]] for r in rows}
+    assert got[0] == [("local", 7, 19, 0.6), ("local", 21, 33, 0.6)] and got[1] == [("ssn", 4, 15, 0.6), ("ssn", 17, 28, 0.6)]
+    assert got[2] == [("local", 30, 42, 0.6)] and got[3] == [("local", 6, 18, 0.6)] and got[4] == []
