@@ -1,14 +1,19 @@
-"""Best-fit packing of tokenized documents into sequences, improved by swap-based local search.
+"""Best-fit packing of tokenized documents into sequences by swap-based local search.
 
 Only lengths matter to a packing, so it is planned over the histogram of piece lengths, which has at most SIZE
-entries whatever the corpus: best-fit decreasing moves whole runs of bins with equal room from one class of room to
-another. All underfull bins are then searched, bins with equal loads at once: documents move, or are exchanged one for one
-or two for one, between them, each step raising the sum of squared fills, until bins empty or nothing helps. The plan says
-which ranks of each length go to which run of bins; pieces are ranked within their length without gathering
-one, and join the plan on (length, block of ranks), so no length, however common, meets in one task.
-
-Defined cases: a null text counts as empty and packs as its end token alone; repeated rows are packed each; an
-empty table gives an empty result; null ids stay null; other columns play no part.
+entries whatever the corpus. Lengths are dealt to bins in falling order, each bin closed when the next one doesn't fit;
+the local search makes the packing of these underfull bins, as many with equal loads at once as there are: documents
+move to the bin they fill best, or are exchanged one for one or two for one, each step raising the sum of squared fills,
+until bins empty or nothing helps. Where that leaves more bins than the sum of lengths needs, the search starts once more
+from the bins that best-fit decreasing leaves underfull, and the better of its two results is taken.
+
+The plan says which ranks of each length go to which run of bins. Pieces are ranked within their length without
+gathering one: rows are counted by buckets of a hash, and ranked within a bucket; buckets and cells of the
+plan grow in number with the rows of a length, so no length, however common, meets in one task.
+
+Defined cases: a null text counts as empty and packs as its end token alone; very long texts are encoded whole and cut
+into pieces; repeated rows are packed each; an empty table gives an empty result; null ids stay null; other columns
+play no part.
 """
 
 from __future__ import annotations
@@ -31,8 +36,10 @@ from tessera.llm.common import bound_batches, cut, table, trim
 
 SIZE = 4096
 END_ID = 1
-_RANK_BUCKETS = 256
-_BLOCK = 16
+#: Rows of a length that one bucket of ranks holds, about.
+_BUCKET = 16_384
+#: Rows of the plan (about 60 bytes each) that every worker may be given; a longer plan is exchanged and joined.
+FEW = 500_000
 #: Lengths in a bin, sorted.
 Load = tuple[int, ...]
 
@@ -65,40 +72,61 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut_up, schema)
 
 
-def best_fit(counts: dict[int, int], size: int) -> tuple[list[tuple[int, int, int, int, int]], int, dict[int, deque]]:
-    """Runs (length, first rank, how many, first bin, offset), the number of bins, and runs of bins by room left.
+def next_fit(counts: dict[int, int], size: int) -> Counter:
+    """How many bins have each load, dealt in falling order: a bin is closed when the next length doesn't fit. The start of the search."""
+    loads: Counter = Counter()
+    load: list[int] = []
+    room = size
+    for length in sorted(counts, reverse=True):
+        left, whole = counts[length], size // length
+        while left:
+            if length > room:
+                loads[tuple(reversed(load))] += 1
+                load, room = [], size
+            if not load and left >= whole:  # as many bins of this length alone as there are
+                loads[(length,) * whole] += left // whole
+                left %= whole
+                continue
+            taken = min(left, room // length)
+            load += [length] * taken
+            room, left = room - taken * length, left - taken
+    if load:
+        loads[tuple(reversed(load))] += 1
+    return loads
+
+
+def best_fit(counts: dict[int, int], size: int) -> Counter:
+    """How many bins have each load by best-fit decreasing.
 
     Longest first; each goes where the least room is left over. Bins with equal room are alike, so as many as
     there are take one each at once.
     """
     rooms: dict[int, deque] = {}
     held: list[int] = []  # rooms that have bins, sorted
-    out, bins = [], 0
     for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
+        left = counts[length]
         while left:
             k = bisect_left(held, length)
             if k == len(held):  # no bin has room: open as many as whole runs of this length fill
-                new = -(-left // (size // length))
-                rooms[size] = deque([(bins, new)])
+                rooms[size] = deque([((), -(-left // (size // length)))])
                 insort(held, size)
-                bins += new
                 continue
             room = held[k]
-            first, many = rooms[room].popleft()
+            load, many = rooms[room].popleft()
             taken = min(many, left)
             if taken < many:
-                rooms[room].appendleft((first + taken, many - taken))
+                rooms[room].appendleft((load, many - taken))
             elif not rooms[room]:
                 del rooms[room], held[k]
-            out.append((length, rank, taken, first, size - room))
-            if room > length:
-                if room - length not in rooms:
-                    rooms[room - length] = deque()
-                    insort(held, room - length)
-                rooms[room - length].append((first, taken))
-            rank, left = rank + taken, left - taken
-    return out, bins, rooms
+            if room - length not in rooms:
+                rooms[room - length] = deque()
+                insort(held, room - length)
+            rooms[room - length].append(((length, *load), taken))
+            left -= taken
+    out: Counter = Counter()
+    for load, many in itertools.chain.from_iterable(rooms.values()):
+        out[load] += many
+    return out
 
 
 class _Open:
@@ -111,7 +139,8 @@ class _Open:
         self.reach = np.full(size + 1, -1, dtype=np.int64)  # the sum and the largest room: what a load takes in at most in exchange
 
     def _backs(self, load: Load) -> set[int]:
-        return {0, *load, *(y + z for y, z in itertools.combinations(load, 2))}
+        own = Counter(load)
+        return {0, *own, *(2 * y for y, n in own.items() if n > 1), *(y + z for y, z in itertools.combinations(own, 2))}
 
     def put(self, load: Load, n: int) -> None:
         room = self.size - sum(load)
@@ -141,8 +170,11 @@ class _Open:
         """(length given, sum taken back, receiver's load): the largest gain, then the least room."""
         best, slack = None, self.size - sum(giver)  # a receiver must get fuller than the giver was
         for x in sorted(set(giver), reverse=True):
-            for s in np.flatnonzero(self.reach[:x] >= x).tolist():
-                if best and x - s < best[0][0]:
+            s = -1
+            while s < x - 1:
+                after = self.reach[s + 1 : x] >= x
+                s += 1 + int(after.argmax())
+                if not self.reach[s] >= x or best and x - s < best[0][0]:
                     break
                 room = self.rooms[s][bisect_left(self.rooms[s], x - s)]
                 if room - (x - s) >= slack:
@@ -217,72 +249,52 @@ def swap_search(bins: list[list[int]], size: int, least: int) -> None:
     bins[:] = found + [[] for _ in range(len(bins) - len(found))]
 
 
-def _pieces(pool: list[tuple[int, int]], many: int) -> list[tuple[int, int]]:
-    """Takes many numbers out of a pool of runs (first, many)."""
-    out = []
-    while many:
-        first, n = pool.pop()
-        if n > many:
-            pool.append((first + many, n - many))
-            n = many
-        out.append((first, n))
-        many -= n
-    return out
-
-
 def plan(counts: dict[int, int], size: int = SIZE) -> pd.DataFrame:
     """Runs: the ranks first..first+many-1 of a length go to bins bin..bin+many-1, each at the offset."""
-    runs, bins, _ = best_fit(counts, size)
     least = -(-sum(n * c for n, c in counts.items()) // size)
-    if bins > least:
-        # Between two places where a run begins or ends, bins hold the same runs and have equal loads.
-        begin: dict[int, list[tuple[int, int, int, int, int]]] = {}
-        for r in runs:
-            begin.setdefault(r[3], []).append(r)
-        places = sorted({*begin, *(r[3] + r[2] for r in runs)})
-        held, kept = [], []
-        pool: dict[int, list[tuple[int, int]]] = {}
-        loads: Counter = Counter()
-        free: list[tuple[int, int]] = []
-        full = 0
-        for at, stop in itertools.pairwise(places):
-            held = [r for r in held if r[3] + r[2] > at] + begin.get(at, [])
-            many = stop - at
-            if sum(r[0] for r in held) == size:
-                kept += [(length, rank + at - first, many, at, offset) for length, rank, _, first, offset in held]
-                full += many
-                continue
-            for length, rank, _, first, _ in held:
-                pool.setdefault(length, []).append((rank + at - first, many))
-            loads[tuple(sorted(r[0] for r in held))] += many
-            free.append((at, many))
-        free.reverse()
-        for load, n in search(loads, size, least - full).items():
-            for at, many in _pieces(free, n):
-                offset = 0
-                for length in load:
-                    start = at
-                    for rank, m in _pieces(pool[length], many):
-                        kept.append((length, rank, m, start, offset))
-                        start += m
-                    offset += length
-        runs = kept
+    found = search(next_fit(counts, size), size, least)
+    if found.total() > least:
+        found = min(found, search(best_fit(counts, size), size, least), key=Counter.total)
+    runs, at, upto = [], 0, dict.fromkeys(counts, 0)
+    for load, many in found.items():
+        offset = 0
+        for length in load:
+            runs.append((length, upto[length], many, at, offset))
+            upto[length] += many
+            offset += length
+        at += many
     return pd.DataFrame(np.array(runs, dtype=np.int64).reshape(-1, 5), columns=["length", "first", "many", "bin", "offset"])
 
 
-def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
+def in_cells(runs: pd.DataFrame, counts: dict[int, int]) -> tuple[pd.DataFrame, dict[int, int]]:
+    """runs, each once for every cell of its length's ranks that it meets, and the width of each length's cells.
+
+    A length has as many cells as runs, so all in all there are twice as many rows at most.
+    """
+    own = runs.groupby("length")["first"].count()
+    width = {int(n): -(-counts[int(n)] // int(k)) for n, k in own.items()}
+    w = runs["length"].map(width).to_numpy(dtype=np.int64)
+    first = runs["first"].to_numpy() // w
+    times = (runs["first"].to_numpy() + runs["many"].to_numpy() - 1) // w - first + 1
+    out = runs.loc[runs.index.repeat(times)].copy()
+    out["cell"] = np.repeat(first - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    return out, width
+
+
+def pack(parts: DataFrame, size: int = SIZE, few: int = FEW) -> DataFrame:
     """parts: id, piece, length and more. The same rows with sequence_id and offset."""
     spark = parts.sparkSession
     # At most size rows reach the driver.
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
-    runs = spark.createDataFrame(plan(counts, size), "length long, first long, many long, bin long, offset long")
-    runs = runs.select("*", F.explode(F.expr(f"sequence(first div {_BLOCK}, (first + many - 1) div {_BLOCK})")).alias("block"))
-    rows = parts.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(_RANK_BUCKETS)))
+    cells, width = in_cells(plan(counts, size), counts)
+    runs = spark.createDataFrame(pa.Table.from_pandas(cells.astype("int64"), preserve_index=False))
+    lengths = spark.createDataFrame([(n, w, -(-counts[n] // _BUCKET)) for n, w in width.items()], "length long, width long, buckets long")
+    rows = parts.join(F.broadcast(lengths), "length").withColumn("bucket", F.expr("pmod(xxhash64(id, piece, ids_crc32), buckets)"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     below = rows.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("below"))
     place = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32"))
-    ranked = rows.join(below, ["length", "bucket"]).withColumn("rank", F.col("below") + place - 1).withColumn("block", F.expr(f"rank div {_BLOCK}"))
-    out = ranked.join(runs, ["length", "block"]).where("rank >= first and rank < first + many")
+    ranked = rows.join(below, ["length", "bucket"]).withColumn("rank", F.col("below") + place - 1).withColumn("cell", F.expr("rank div width"))
+    out = ranked.join(F.broadcast(runs) if len(cells) <= few else runs, ["length", "cell"]).where("rank >= first and rank < first + many")
     return out.select(*(parts[c] for c in parts.columns), (F.col("bin") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
 
 
