@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -45,6 +46,43 @@ PROMPT = "<image>\nDescribe the findings of the chest x-ray given the following
 _U = "(?U)"
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def sums_before(sizes: Column) -> Column:
+    """The sum of the elements before each element of an array of ints, by blocks of the square root of its size."""
+
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def of(z: Column, k: Column) -> Column:
+        starts = F.transform(F.sequence(F.lit(0), F.size(z) - 1, k), lambda at: total(F.slice(z, at + 1, k)))
+        return bound(
+            bound(starts, lambda t: F.transform(t, lambda _, b: total(F.slice(t, F.lit(1), b)))),
+            lambda s: F.transform(z, lambda _, i: F.get(s, F.floor(i / k).cast("int")) + total(F.slice(z, (i - i % k) + 1, i % k))),
+        )
+
+    some = bound(sizes, lambda z: bound(F.ceil(F.sqrt(F.size(z))).cast("int"), lambda k: of(z, k)))
+    return F.when(F.size(sizes) > 0, some).otherwise(F.array().cast("array<int>"))
+
+
+def places(c: Column, pattern: Column) -> Column:
+    """array<struct<start, end, text>> of a pattern's matches, in order."""
+
+    def of(found: Column, gaps: Column) -> Column:
+        start = bound(F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)), sums_before)
+
+        def place(m: Column, i: Column, before: Column) -> Column:
+            at = F.get(before, i) + F.length(F.get(gaps, i))
+            return F.struct(at.alias("start"), (at + F.length(m)).alias("end"), m.alias("text"))
+
+        return bound(start, lambda before: F.transform(found, lambda m, i: place(m, i, before)))
+
+    return bound(c, lambda t: bound(F.regexp_extract_all(t, pattern, F.lit(0)), lambda found: bound(F.split(t, pattern, -1), lambda gaps: of(found, gaps))))
+
+
 def pstrip(c: Column) -> Column:
     """Without Unicode white space at either end (trim() knows the blank alone)."""
     return F.regexp_replace(c, _U + r"^\s+|\s+$", "")
@@ -59,14 +97,33 @@ def canonical(c: Column) -> Column:
     return pstrip(collapse(F.lower(c)))
 
 
+def _gated(c: Column, there: Callable[[Column], Column], f: Callable[[Column], Column]) -> Column:
+    """f where its patterns can match at all, which a cheaper test tells."""
+    return bound(c, lambda v: F.when(there(v), f(v)).otherwise(v))
+
+
 def normalize_reason(c: Column) -> Column:
-    """STR-1: the fixed chain of rewritings, in order; null is empty."""
+    """STR-1: the fixed chain of rewritings, in order; null is empty. Each goes over the texts alone that hold its words."""
+
+    def ended(x: Column, patterns: tuple[str, ...]) -> Column:
+        return reduce(lambda y, p: F.regexp_replace(y, _U + p, "$0;"), patterns, x)
+
+    def held(word: str) -> Callable[[Column], Column]:
+        return lambda v: F.contains(v, F.lit(word))
+
+    def expanded(x: Column) -> Column:
+        return reduce(lambda y, kv: _gated(y, held(kv[0]), lambda v: F.regexp_replace(v, _U + rf"\b{kv[0]}\b", kv[1])), ABBREVIATIONS.items(), x)
+
     out = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), _U + r"^history:\s*", "")
-    out = reduce(lambda x, p: F.regexp_replace(x, _U + p, "$0;"), DEMOGRAPHIC, out)
-    out = reduce(lambda x, kv: F.regexp_replace(x, _U + rf"\b{kv[0]}\b", kv[1]), ABBREVIATIONS.items(), out)
-    for pattern, by in ((r"\s+", " "), (r"\s*//\s*", ", "), (r"[\.;]+$", ""), (r"\s*,\s*", ", ")):
-        out = F.regexp_replace(out, _U + pattern, by)
-    return pstrip(out)
+    out = _gated(out, held("___"), lambda v: ended(v, DEMOGRAPHIC[:2]))
+    out = _gated(out, lambda v: v.rlike(_U + r"\d\s*-?\s*y"), lambda v: ended(v, DEMOGRAPHIC[2:8]))
+    out = _gated(out, held("___"), lambda v: ended(v, DEMOGRAPHIC[8:]))
+    # No expansion makes a word that another one expands, so one look tells whether there is anything to do.
+    out = _gated(out, lambda v: v.rlike(_U + rf"\b(?:{'|'.join(ABBREVIATIONS)})\b"), expanded)
+    out = F.regexp_replace(out, _U + r"\s+", " ")
+    out = _gated(out, held("//"), lambda v: F.regexp_replace(v, _U + r"\s*//\s*", ", "))
+    out = F.regexp_replace(out, r"[\.;]+$", "")
+    return pstrip(_gated(out, held(","), lambda v: F.regexp_replace(v, _U + r"\s*,\s*", ", ")))
 
 
 def split_fragments(c: Column) -> Column:

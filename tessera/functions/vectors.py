@@ -33,9 +33,9 @@ def clip(a: Column, bound: float) -> Column:
     return F.transform(a, lambda x: x.cast("double") * by)
 
 
-def noise_std(bound: float, epsilon: float, delta: float) -> float:
+def noise_std(bound: float, epsilon: float, delta: Column) -> Column:
     """VEC-6, and 0 for an infinite epsilon (VEC-7: clipping alone)."""
-    return 0.0 if math.isinf(epsilon) else 2 * bound / epsilon * math.sqrt(2 * math.log(1.25 / delta))
+    return F.lit(0.0) if math.isinf(epsilon) else 2 * bound / epsilon * F.sqrt(2 * F.log(1.25 / delta))
 
 
 def uniform(key: Column) -> Column:
@@ -54,11 +54,21 @@ def noisy(a: Column, id_: Column, std: float, seed: int) -> Column:
     return F.transform(a, lambda x, i: x.cast("double") + std * gaussian(F.concat(key, i.cast("string"))))
 
 
+def selectively_noisy(vectors: Column, mask: Column, id_: Column, limit: float, std: float, seed: int) -> Column:
+    """VEC-4, VEC-5 where the mask holds: of an array of vectors, one for each token, those are clipped and noised, the others stay as they are."""
+
+    def of(v: Column, i: Column) -> Column:
+        key = F.concat_ws(":", id_.cast("string"), i.cast("string"))
+        return F.when(F.get(mask, i), noisy(clip(v, limit), key, std, seed)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+    return F.transform(vectors, of)
+
+
 def round_even(c: Column, places: int = 4) -> Column:
     """VEC-9: half to even."""
     return F.bround(c, places)
 
 
-def steps(rows: int, world: int, batch: int, accumulate: int, epochs: int) -> int:
+def steps(rows: Column, world: int, batch: int, accumulate: int, epochs: int) -> Column:
     """MTH-1."""
-    return math.ceil(rows / (world * batch * accumulate)) * epochs
+    return F.ceil(rows / (world * batch * accumulate)) * epochs

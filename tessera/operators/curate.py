@@ -27,21 +27,24 @@ def greedy_dedup(df: DataFrame, ord_: str, keys: list[Column], within: str | Non
     part = F.col(within).cast("string") if within else F.lit("")
     values = F.array(*(F.struct(F.lit(i).alias("k"), F.sha2(F.to_json(F.struct(part.alias("p"), c.alias("v"))), 256).alias("value")) for i, c in enumerate(keys)))
     left = cut(df.select(F.col(ord_).alias("ord"), F.inline(values)))
-    kept = None
+    kept, rounds = None, 0
     while not left.isEmpty():
         first = left.groupBy("k", "value").agg(F.min("ord").alias("first"))
         seen = cut(left.join(first, ["k", "value"]))
         new = seen.groupBy("ord").agg(F.every(F.col("ord") == F.col("first")).alias("all")).where("all").select("ord")
         kept = new if kept is None else kept.unionByName(new)
+        rounds += 1
+        if rounds % 8 == 0:  # what is kept stays one table, however many rounds there are
+            kept = cut(kept)
         decided = seen.join(new.withColumnRenamed("ord", "first"), "first", "left_semi").select("ord").distinct()
         left = cut(left.join(decided, "ord", "left_anti"))
     return df.limit(0) if kept is None else df.join(kept.withColumnRenamed("ord", ord_), ord_, "left_semi")
 
 
 def until_first(df: DataFrame, ord_: str, stop: Column) -> DataFrame:
-    """FLT-8: the rows before the first for which stop holds; all of them if there is none."""
-    at = df.where(stop).agg(F.min(ord_).alias("_stop"))
-    return df.join(F.broadcast(at), F.col("_stop").isNull() | (F.col(ord_) < F.col("_stop")), "inner").drop("_stop")
+    """FLT-8: the rows before the first for which stop holds; all of them if there is none. The place of that row is a plain filter, which reaches the scan."""
+    at = df.where(stop).agg(F.min(ord_)).first()[0]
+    return df if at is None else df.where(F.col(ord_) < F.lit(at))
 
 
 def with_files(df: DataFrame, path: str, files: DataFrame, file: str) -> DataFrame:

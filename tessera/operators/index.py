@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import cut
 
 
 def fragments(records: DataFrame, key: str, reason: str, *carried: str) -> DataFrame:
@@ -33,19 +34,18 @@ def counts(links: DataFrame, key: str) -> DataFrame:
 def ranked(df: DataFrame, text: str, name: str = "idx") -> DataFrame:
     """WIN-1: ids from 0 by word count, most first, then by text.
 
-    No task ranks the whole table: rows are ranked within (word count, first characters) and offset by the rows of
-    the cells before theirs; only cells, of which there are few, meet in one place, a word count at a time.
+    No task ranks the whole table: rows are sorted within ranges of (word count, text) that Spark balances by a sample,
+    and written; a row's place in its part, which is read in that order, is offset by the counts of the parts before.
     """
-    rows = df.withColumn("word_count", T.word_count(F.col(text))).withColumn("_head", F.substring(text, 1, 3))
-    cells = rows.groupBy("word_count", "_head").count()
-    total = cells.groupBy("word_count").agg(F.sum("count").alias("_n"))
-    before = Window.orderBy(F.desc("word_count")).rowsBetween(Window.unboundedPreceding, -1)
-    total = total.select("word_count", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"))
-    within = Window.partitionBy("word_count").orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("word_count", "_head", F.coalesce(F.sum("count").over(within), F.lit(0)).alias("_below")).join(total, "word_count")
-    place = F.row_number().over(Window.partitionBy("word_count", "_head").orderBy(text))
-    out = rows.join(cells, ["word_count", "_head"])
-    return out.withColumn(name, (F.col("_above") + F.col("_below") + place - 1).cast("long")).drop("_head", "_above", "_below")
+    rows = df.withColumn("word_count", T.word_count(F.col(text)))
+    order = (F.desc("word_count"), F.asc(text))
+    rows = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).count()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    sizes = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    out = rows.withColumn("_part", part).join(F.broadcast(sizes), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_at")
 
 
 def batch_id(idx: Column, size: int = 20) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
@@ -19,31 +20,64 @@ def tokens(c: Column) -> Column:
 
 
 def ngrams(toks: Column, n: int) -> Column:
+    """The n-grams of a token array that is bound or a column already: it is used for each of them."""
     return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.array_join(F.slice(toks, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _overlap(pairs: DataFrame, n: int) -> DataFrame:
-    """id, hit: the n-grams of pred found in ref, each as often as ref has it at most."""
+def numbered(grams: Column) -> Column:
+    """The elements, each marked with which of its equals it is, so that sets of them meet as multisets do."""
 
-    def grams(side: str) -> DataFrame:
-        return pairs.select("id", F.explode(ngrams(tokens(F.col(side)), n)).alias("g")).groupBy("id", "g").count().withColumnRenamed("count", side)
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
 
-    return grams("pred").join(grams("ref"), ["id", "g"]).groupBy("id").agg(F.sum(F.least("pred", "ref")).alias("hit"))
+        def run(at: Column, after: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), after - at), lambda k: F.concat_ws("\x01", F.get(s, at), k.cast("string")))
 
+        return T.bound(starts, lambda x: F.flatten(F.transform(x, lambda at, j: run(at, F.coalesce(F.get(x, j + 1), n)))))
 
-def bleu(pairs: DataFrame, n: int) -> DataFrame:
-    """EVL-1, EVL-2: corpus BLEU of pairs (id, pred, ref) up to n-grams: the hits and totals of each order, the lengths and the score.
+    return T.bound(F.array_sort(grams), lambda s: F.when(F.size(s) > 0, of(s)).otherwise(s))
 
-    Without smoothing: 0 if an order has no hit.
-    """
-    sizes = pairs.select("id", F.size(tokens(F.col("pred"))).alias("lp"), F.size(tokens(F.col("ref"))).alias("lr"))
-    total = sizes.agg(F.sum("lp").alias("pred_len"), F.sum("lr").alias("ref_len"), *(F.sum(F.greatest(F.col("lp") - (k - 1), F.lit(0))).alias(f"total_{k}") for k in range(1, n + 1)))
-    hits = [_overlap(pairs, k).agg(F.coalesce(F.sum("hit"), F.lit(0)).alias(f"hit_{k}")) for k in range(1, n + 1)]
-    out = reduce(lambda a, b: a.join(F.broadcast(b)), hits, total)
+
+def overlap(p: Column, r: Column, n: int) -> Column:
+    """The n-grams of token array p found in r, each as often as r has it at most; counted within the row."""
+    return F.size(F.array_intersect(numbered(ngrams(p, n)), numbered(ngrams(r, n)))).cast("long")
+
+
+def _hits(n: int) -> Column:
+    """overlap() of columns p and r; bound, so that they aren't tokenized again however the optimizer merges projections."""
+    return T.bound(F.col("p"), lambda p: T.bound(F.col("r"), lambda r: overlap(p, r, n)))
+
+
+def bleu_parts(pairs: DataFrame, n: int) -> DataFrame:
+    """id, pred_len, ref_len, and total_k and hit_k of each order up to n, of pairs (id, pred, ref)."""
+    t = pairs.select("id", tokens(F.col("pred")).alias("p"), tokens(F.col("ref")).alias("r"))
+    each = [F.struct(F.greatest(F.size("p") - (k - 1), F.lit(0)).cast("long").alias("total"), _hits(k).alias("hit")) for k in range(1, n + 1)]
+    out = t.select("id", F.size("p").cast("long").alias("pred_len"), F.size("r").cast("long").alias("ref_len"), F.array(*each).alias("x"))
+    return out.select("id", "pred_len", "ref_len", *(F.col("x")[k - 1][c].alias(f"{c}_{k}") for k in range(1, n + 1) for c in ("total", "hit")))
+
+
+def bleu_score(n: int) -> Column:
+    """The score from the sums of the parts. Without smoothing: 0 if an order has no hit."""
     logs = [F.log(F.col(f"hit_{k}") / F.col(f"total_{k}")) for k in range(1, n + 1)]
     short = F.when(F.col("pred_len") >= F.col("ref_len"), 1.0).otherwise(F.exp(1 - F.col("ref_len") / F.col("pred_len")))
     some = reduce(lambda a, b: a & b, (F.col(f"hit_{k}") > 0 for k in range(1, n + 1)))
-    return out.withColumn("score", F.when(some, short * F.exp(reduce(lambda a, b: a + b, logs) / n)).otherwise(0.0))
+    return F.when(some, short * F.exp(reduce(lambda a, b: a + b, logs) / n)).otherwise(0.0)
+
+
+def _part_names(n: int) -> list[str]:
+    return ["pred_len", "ref_len", *(f"{c}_{k}" for k in range(1, n + 1) for c in ("total", "hit"))]
+
+
+def bleu(pairs: DataFrame, n: int) -> DataFrame:
+    """EVL-1, EVL-2: corpus BLEU of pairs (id, pred, ref) up to n-grams: the hits and totals of each order, the lengths and the score."""
+    out = bleu_parts(pairs, n).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _part_names(n)))
+    return out.withColumn("score", bleu_score(n))
+
+
+def bootstrap_bleu(pairs: DataFrame, n: int, replicates: int = 500, seed: int = 3) -> DataFrame:
+    """EVL-1: replicate, score of BLEU over redrawn rows."""
+    return resampled(bleu_parts(pairs, n), replicates, seed, *_part_names(n)).select("replicate", bleu_score(n).alias("score"))
 
 
 def _f(hit: Column, n_pred: Column, n_ref: Column) -> Column:
@@ -53,9 +87,9 @@ def _f(hit: Column, n_pred: Column, n_ref: Column) -> Column:
 
 def rouge_n(pairs: DataFrame, n: int) -> DataFrame:
     """EVL-4: id, f."""
-    sizes = pairs.select("id", *(F.greatest(F.size(tokens(F.col(s))) - (n - 1), F.lit(0)).alias(s) for s in ("pred", "ref")))
-    hit = F.coalesce("hit", F.lit(0))
-    return sizes.join(_overlap(pairs, n), "id", "left").select("id", _f(hit, F.col("pred"), F.col("ref")).alias("f"))
+    t = pairs.select("id", tokens(F.col("pred")).alias("p"), tokens(F.col("ref")).alias("r"))
+    x = F.struct(*(F.greatest(F.size(s) - (n - 1), F.lit(0)).alias(s) for s in ("p", "r")), _hits(n).alias("hit"))
+    return t.select("id", F.array(x)[0].alias("x")).select("id", _f(F.col("x.hit"), F.col("x.p"), F.col("x.r")).alias("f"))
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -168,26 +202,30 @@ def kappa(long: DataFrame, *keys: str) -> DataFrame:
 
 
 def facts(entities: Column, level: str) -> Column:
-    """EVL-13: the distinct facts of array<struct<id, tokens, label, relations: array<struct<type, target>>>>.
+    """EVL-13: the distinct facts, as texts, of array<struct<id, tokens, label, relations: array<struct<type, target>>>>.
 
     simple: tokens and label; partial: and whether it has a relation; complete: one for each relation, with its type
     and the target's tokens in lower case, as are the entity's own in that case alone.
     """
+
+    def text(*fields: Column) -> Column:
+        return F.concat_ws("\x01", *(F.coalesce(f, F.lit("\x02")) for f in fields))
+
     none = F.lit(None).cast("string")
-    base = F.transform(entities, lambda e: F.struct(e["tokens"].alias("tokens"), e["label"].alias("label"), none.alias("relation"), none.alias("target")))
     if level == "simple":
-        return F.array_distinct(base)
+        return F.array_distinct(F.transform(entities, lambda e: text(e["tokens"], e["label"])))
     if level == "partial":
-        return F.array_distinct(F.transform(entities, lambda e: F.struct(e["tokens"].alias("tokens"), e["label"].alias("label"), F.when(F.size(e["relations"]) > 0, "some").alias("relation"), none.alias("target"))))
-
-    def target(key: Column) -> Column:
-        return F.lower(F.get(F.filter(entities, lambda x: x["id"] == key), F.lit(0))["tokens"])
+        return F.array_distinct(F.transform(entities, lambda e: text(e["tokens"], e["label"], F.when(F.size(e["relations"]) > 0, "some"))))
 
-    def of(e: Column) -> Column:
-        plain = F.array(F.struct(e["tokens"].alias("tokens"), e["label"].alias("label"), none.alias("relation"), none.alias("target")))
-        return F.when(F.size(e["relations"]) > 0, F.transform(e["relations"], lambda r: F.struct(F.lower(e["tokens"]).alias("tokens"), e["label"].alias("label"), r["type"].alias("relation"), target(r["target"]).alias("target")))).otherwise(plain)
+    def of(e: Column, held: Column) -> Column:
+        each = F.transform(e["relations"], lambda r: text(F.lower(e["tokens"]), e["label"], r["type"], F.lower(F.try_element_at(held, r["target"]))))
+        return F.when(F.size(e["relations"]) > 0, each).otherwise(F.array(text(e["tokens"], e["label"], none, none)))
 
-    return F.array_distinct(F.flatten(F.transform(entities, of)))
+    # Of entities with one id the first is the target.
+    first = F.filter(entities, lambda e, i: F.array_position(F.transform(entities, lambda x: x["id"]), e["id"]) == i + 1)
+    names = T.bound(F.transform(entities, lambda e: e["id"]), lambda ids: F.when(F.size(F.array_distinct(ids)) == F.size(ids), entities).otherwise(first))
+    by_id = F.map_from_entries(F.transform(names, lambda e: F.struct(e["id"], e["tokens"])))
+    return T.bound(by_id, lambda held: F.array_distinct(F.flatten(F.transform(entities, lambda e: of(e, held)))))
 
 
 def fact_reward(pred: Column, ref: Column, prefix: str = "") -> list[Column]:
@@ -197,24 +235,48 @@ def fact_reward(pred: Column, ref: Column, prefix: str = "") -> list[Column]:
     return [F.when(some, 2 * same / (a + b)).otherwise(0.0).alias(f"{prefix}f1"), F.when(some, same / a).otherwise(0.0).alias(f"{prefix}precision"), F.when(some, same / b).otherwise(0.0).alias(f"{prefix}recall")]
 
 
-def draws(rows: DataFrame, n: int, replicates: int, seed: int = 3) -> DataFrame:
-    """EVL-15: replicate, idx: n draws with replacement for each replicate, from a digest of (seed, replicate, draw)."""
-    spark = rows.sparkSession
-    each = spark.range(replicates).select(F.col("id").alias("replicate")).crossJoin(spark.range(n).select(F.col("id").alias("draw")))
-    key = F.concat(F.lit(f"{seed}:"), F.col("replicate").cast("string"), F.lit(":"), F.col("draw").cast("string"))
-    return each.select("replicate", F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), F.lit(n)).alias("idx"))
+#: The chance, under a Poisson law of mean 1, of at most 0, 1, 2, ... draws.
+_POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(9))
 
 
-def bootstrap_f1(rows: DataFrame, n: int, replicates: int, keys: tuple[str, ...] = (), seed: int = 3) -> DataFrame:
-    """EVL-15, EVL-16: replicate, keys, tp, fp, fn and rates over redrawn rows. rows: idx from 0 to n - 1, keys, tp, fp, fn.
+def resampled(rows: DataFrame, replicates: int, seed: int, *sums: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """EVL-15, EVL-16: replicate, keys and the weighted sums over redrawn rows (with column id).
 
-    A draw is counted before the join, so a replicate reads each row once.
+    A row's weight in a replicate is how often it is drawn: a Poisson draw of mean 1 from a digest of (seed, id, replicate),
+    which is what drawing n of n rows comes to as n grows. Weights are the row's own, so nothing is joined or numbered
+    and sums are partial before their exchange; one digest serves four replicates.
     """
-    times = draws(rows, n, replicates, seed).groupBy("replicate", "idx").agg(F.count(F.lit(1)).alias("times"))
-    sums = times.join(rows, "idx").groupBy("replicate", *keys).agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"), F.lit(":"), F.col("_four").cast("string")))
+    each = rows.withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4)))).withColumn("_digest", digest)
+    each = each.select(*keys, *sums, "_four", F.posexplode(F.array(*(F.conv(F.substring("_digest", 1 + 8 * k, 8), 16, 10).cast("double") / 4294967296.0 for k in range(4)))).alias("_k", "_u"))
+    each = each.withColumn("replicate", F.col("_four") * 4 + F.col("_k")).where(F.col("replicate") < replicates)
+    times = sum((F.when(F.col("_u") >= p, 1).otherwise(0) for p in _POISSON[1:]), F.when(F.col("_u") >= _POISSON[0], 1).otherwise(0))
+    return each.withColumn("_times", times).where("_times > 0").groupBy("replicate", *keys).agg(*(F.sum(F.col(c) * F.col("_times")).alias(c) for c in sums))
+
+
+def bootstrap_f1(rows: DataFrame, replicates: int = 500, keys: tuple[str, ...] = (), seed: int = 3) -> DataFrame:
+    """EVL-15, EVL-16: replicate, keys and rates over redrawn rows. rows: id, keys, tp, fp, fn."""
+    sums = resampled(rows, replicates, seed, "tp", "fp", "fn", keys=keys)
     return sums.select("replicate", *keys, *_rates(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def bootstrap_macro(rows: DataFrame, condition: str, replicates: int = 500, seed: int = 3) -> DataFrame:
+    """EVL-15: replicate, f1: the mean over conditions of the F1 over redrawn rows."""
+    return bootstrap_f1(rows, replicates, (condition,), seed).groupBy("replicate").agg(F.avg("f1").alias("f1"))
+
+
+def bootstrap_mean(rows: DataFrame, value: str, replicates: int = 500, seed: int = 3) -> DataFrame:
+    """EVL-15: replicate, mean of a value over redrawn rows (id, value)."""
+    sums = resampled(rows.select("id", F.col(value).alias("_sum"), F.lit(1).alias("_n")), replicates, seed, "_sum", "_n")
+    return sums.select("replicate", (F.col("_sum") / F.col("_n")).alias("mean"))
+
+
+def averages(scores: DataFrame, left_out: dict[str, tuple[str, ...]]) -> DataFrame:
+    """EVL-12: task, mean_f1, n over conditions (task, condition, f1), without those that a task leaves out."""
+    skip = reduce(lambda a, b: a | b, ((F.col("task") == t) & F.col("condition").isin(*cs) for t, cs in left_out.items()), F.lit(False))
+    return scores.where(~skip).groupBy("task").agg(F.avg("f1").alias("mean_f1"), F.count(F.lit(1)).alias("n"))
+
+
 def interval(replicated: DataFrame, value: str, *keys: str) -> DataFrame:
     """The 2.5, 50 and 97.5 percentiles, interpolated."""
     p = F.percentile(value, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))

@@ -11,6 +11,7 @@ from tessera.functions import text as T
 DEMOGRAPHIC = ("male", "female", "hispanic/latino", "non-hispanic/non-latino", "white", "asian", "black", "pacific islander", "native american")
 # Canonical phrases and their short forms.
 SHORT_FORMS = {
+    "chronic obstructive pulmonary disease": ["copd"],
     "congestive heart failure": ["chf"],
     "shortness of breath": ["sob"],
     "myocardial infarction": ["mi"],
@@ -30,34 +31,41 @@ SHORT_FORMS = {
     "coronary artery disease": ["cad"],
     "rule out pneumonia": ["R/O Pna"],
     "intensive care unit": ["icu"],
-    "chronic obstructive pulmonary disease": ["copd"],
     "evaluate for pneumonia": ["eval for pna", "eval pneumonia"],
     "evaluate for congestive heart failure": ["eval for chf"],
 }
 _TRAIL = r"[.,;:]*"
 
 
-def _matches(kind: str, pattern: str) -> Column:
-    """array<struct<start, end, kind, text>> of a pattern's matches in column `_low`: places are sums over the pieces between them."""
-    found = F.regexp_extract_all("_low", F.lit(pattern), F.lit(0))
-    gaps = F.split("_low", pattern, -1)
-    sizes = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,text:string>>").alias("out"))
+def _matches(low: Column, kind: str, pattern: str) -> Column:
+    """array<struct<start, end, kind, text>> of a pattern's matches."""
+    return F.transform(T.places(low, F.lit(pattern)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["text"].alias("text")))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["g"]
-        b = a + x["n"]
-        return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("text")))).alias("out"))
 
-    return F.aggregate(F.filter(sizes, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["out"])
+_NUMBER = r"(?<![0-9])[0-9]+(?![0-9])" + _TRAIL
+_PHRASE = r"(?<![a-z0-9])(?:" + "|".join(sorted(DEMOGRAPHIC, key=len, reverse=True)) + r")(?![a-z0-9])" + _TRAIL
 
 
 def general_spans(df: DataFrame, text: str) -> DataFrame:
     """df with `spans`: digit runs and demographic phrases in lower-cased text, with the punctuation that follows them (STR-18, STR-19)."""
-    pattern = r"(?<![a-z0-9])(?:" + "|".join(sorted(DEMOGRAPHIC, key=len, reverse=True)) + r")(?![a-z0-9])" + _TRAIL
-    out = df.withColumn("_low", F.lower(text))
-    spans = F.concat(_matches("number", r"(?<![0-9])[0-9]+(?![0-9])" + _TRAIL), _matches("demographic", pattern))
-    return out.withColumn("spans", F.array_sort(spans)).drop("_low")
+    spans = T.bound(F.lower(text), lambda low: F.concat(_matches(low, "number", _NUMBER), _matches(low, "demographic", _PHRASE)))
+    return df.withColumn("spans", F.array_sort(spans))
+
+
+def sensitive_words(text: Column) -> Column:
+    """array<boolean>: of the pieces of a text between single blanks, which a general span touches.
+
+    The spans' characters, but for blanks, are marked in place, so a piece knows without looking a place up.
+    """
+
+    def marked(low: Column, pattern: str) -> Column:
+        found, gaps = F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), F.split(low, pattern, -1)
+        pieces = F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(F.regexp_replace(m, "[^ ]", "\x01"), F.lit(""))))
+        return F.array_join(pieces, "")
+
+    # Marks of the first pattern are neither letters nor digits, as little as what they stand for is part of a phrase.
+    both = T.bound(F.lower(text), lambda low: F.zip_with(F.split(marked(low, _NUMBER), " ", -1), F.split(marked(low, _PHRASE), " ", -1), lambda a, b: F.contains(a, F.lit("\x01")) | F.contains(b, F.lit("\x01"))))
+    return both
 
 
 def part_spans(low: Column, terms: Column, kind: str = "part") -> Column:
@@ -66,13 +74,8 @@ def part_spans(low: Column, terms: Column, kind: str = "part") -> Column:
     The terms of a row are few, so each is sought with its own pattern and no row meets another's terms.
     """
     quoted = F.transform(terms, lambda t: F.concat(F.lit(r"(?<![a-z0-9])\Q"), t, F.lit(r"\E(?![a-z0-9])" + _TRAIL)))
-
-    def of(p: Column) -> Column:
-        found, gaps = F.regexp_extract_all(low, p, F.lit(0)), F.split(low, p, -1)
-        return F.transform(found, lambda m, i: F.struct((F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, g: a + F.length(g))).alias("start"), F.lit(kind).alias("kind"), m.alias("text")))
-
-    hits = F.flatten(F.transform(quoted, of))
-    return F.transform(hits, lambda h: F.struct(h["start"].alias("start"), (h["start"] + F.length(h["text"])).alias("end"), h["kind"].alias("kind"), h["text"].alias("text")))
+    hits = F.flatten(F.transform(quoted, lambda p: T.places(low, p)))
+    return F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.lit(kind).alias("kind"), h["text"].alias("text")))
 
 
 def sensitive_terms(parts: Column) -> Column:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import metrics as M
 from tessera.plans import sql as S
 from tessera.plans.catalogue import query
@@ -89,9 +90,9 @@ def label_variants(spark, d):
     return micro.join(counts.groupBy("variant").agg(F.round(F.avg(f1), 6).alias("macro_f1")), "variant").withColumn("micro_f1", F.coalesce("micro_f1", F.lit(0.0)))
 
 
-def _task_sql(task: str) -> str:
+def _task_sql(task: str, source: str = "cd") -> str:
     at = {"mention": ("t IN (1, 2, 3)", "q IN (1, 2, 3)"), "blank": ("t = 0", "q = 0"), "negation": ("t = 2", "q = 2"), "positive": ("t = 1", "q = 1"), "uncertain": ("t = 3", "q = 3")}[task]
-    return f"SELECT '{task}' AS task, condition, {_CNT} FROM (SELECT condition, ({at[0]})::INTEGER AS y, ({at[1]})::INTEGER AS p FROM cd) GROUP BY condition"
+    return f"SELECT '{task}' AS task, condition, {_CNT} FROM (SELECT condition, ({at[0]})::INTEGER AS y, ({at[1]})::INTEGER AS p FROM {source}) GROUP BY condition"
 
 
 _TASKS = ("mention", "blank", "negation", "positive", "uncertain")
@@ -109,11 +110,22 @@ def task_f1(spark, d):
     return _rounded(_task_scores(spark, d), "f1")
 
 
-@query("q_task_averages", f"WITH {_TASK} SELECT task, round(avg(f1), 6) AS mean_f1, count(*) AS n FROM ts WHERE NOT (task = 'negation' AND condition = 'quality') GROUP BY task")
+#: The labels of each language as conditions of their own; of these negation leaves out one, uncertain two.
+_BY_LANG = f"{_CODES}, cl AS (SELECT cd.id, cd.condition || '/' || d.lang AS condition, t, q FROM cd JOIN documents d ON d.doc_id = cd.id)"
+_LEFT_OUT = {"negation": ("quality/fr",), "uncertain": ("quality/fr", "toxic/fr")}
+
+
+@query(
+    "q_task_averages",
+    f"""WITH {_BY_LANG}, tk AS ({' UNION ALL '.join(_task_sql(t, 'cl') for t in _TASKS)}), ts AS (SELECT task, condition, {_rates()} FROM tk)
+    SELECT task, round(avg(f1), 6) AS mean_f1, count(*) AS n FROM ts WHERE NOT (task = 'negation' AND condition = 'quality/fr') AND NOT (task = 'uncertain' AND condition IN ('quality/fr', 'toxic/fr')) GROUP BY task""",
+)
 def task_averages(spark, d):
-    """EVL-12: averages over conditions, of which a task may leave some out."""
-    s = _task_scores(spark, d).where(~((F.col("task") == "negation") & (F.col("condition") == "quality")))
-    return s.groupBy("task").agg(F.round(F.avg("f1"), 6).alias("mean_f1"), F.count(F.lit(1)).alias("n"))
+    """EVL-12: averages over conditions, of which negation leaves out the last and uncertain the last two."""
+    lang = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    rows = cut(_codes(spark, d).join(lang, "id").withColumn("condition", F.concat_ws("/", "condition", "lang")))
+    scores = reduce(DataFrame.unionByName, (M.task_f1(rows, t).select(F.lit(t).alias("task"), "condition", "f1") for t in _TASKS))
+    return _rounded(M.averages(scores, _LEFT_OUT), "mean_f1")
 
 
 @query("q_label_weights", f"WITH {_CODES}, a AS (SELECT condition, t AS label FROM cd UNION ALL SELECT condition, q FROM cd), w AS (SELECT condition, count(*) FILTER (label = 2) AS ng, count(*) FILTER (label = 3) AS un, count(*) FILTER (label = 1) AS po FROM a GROUP BY condition) SELECT condition, round(ng / (ng + un + po)::DOUBLE, 6) AS negation, round(un / (ng + un + po)::DOUBLE, 6) AS uncertain, round(po / (ng + un + po)::DOUBLE, 6) AS positive FROM w")
@@ -246,9 +258,7 @@ def entity_f1(spark, d):
 
 
 def _entity_scores(spark, d) -> DataFrame:
-    def entities(c):
-        w = M.tokens(F.col(c))
-
+    def entities(w):
         def of(x, i):
             linked = (F.length(x) >= 5) & (i < F.size(w) - 1)
             target = F.array(F.struct(F.lit("next").alias("type"), (i + 1).cast("string").alias("target")))
@@ -256,8 +266,14 @@ def _entity_scores(spark, d) -> DataFrame:
 
         return F.transform(w, of)
 
-    df = _pairs(spark, d).select("id", entities("pred").alias("p"), entities("ref").alias("r"))
-    return df.select("id", *(M.fact_reward(M.facts(F.col("p"), level), M.facts(F.col("r"), level), f"{level}_")[0] for level in ("simple", "partial", "complete")))
+    def scores(p, r):
+        return F.struct(*(M.fact_reward(M.facts(p, level), M.facts(r, level), f"{level}_")[0] for level in ("simple", "partial", "complete")))
+
+    def sides(c):
+        return T.bound(M.tokens(F.col(c)), entities)
+
+    out = T.bound(sides("pred"), lambda p: T.bound(sides("ref"), lambda r: scores(p, r)))
+    return _pairs(spark, d).select("id", F.inline(F.array(out)))
 
 
 @query("q_entity_mean", f"WITH {_PAIRS}, {_FACTS} SELECT round(sum(f) / (SELECT count(*) FROM conversations WHERE role = 'assistant'), 6) AS mean_f1, (SELECT count(*) FROM conversations WHERE role = 'assistant') AS n FROM (SELECT {_reward('ps', 'rs')} AS f FROM fa)")
@@ -268,32 +284,64 @@ def entity_mean(spark, d):
     return f.agg(F.round(F.avg("f"), 6).alias("mean_f1"), F.count(F.lit(1)).alias("n"))
 
 
-_BOOT = f"""{_LONG}, ix AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM (SELECT DISTINCT id FROM lg)), n AS (SELECT count(*) AS n FROM ix),
-    dr AS (SELECT r.i AS replicate, ('0x' || substr(md5('3:' || r.i || ':' || k.i), 1, 8))::BIGINT % n.n AS idx FROM range(50) r(i), n, range((SELECT n FROM n)) k(i)),
-    bt AS (SELECT replicate, condition, {_CNT} FROM dr JOIN ix USING (idx) JOIN lg USING (id) GROUP BY ALL)"""
-_PCT = "round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.5), 6) AS median, round(quantile_cont(f1, 0.975), 6) AS high"
+#: Weights of rows (source: id and values) in 500 replicates: a Poisson draw of mean 1 from a digest of (seed, id, replicate).
+_POISSON = " + ".join(f"(u >= {p!r}::DOUBLE)::INTEGER" for p in M._POISSON)
+
+
+def _drawn(source: str) -> str:
+    four = f"(SELECT *, md5('3:' || id || ':' || b.i) AS h, b.i AS four FROM {source}, range(125) b(i))"
+    return f"(SELECT *, {_POISSON} AS times FROM (SELECT *, four * 4 + k.i AS replicate, ('0x' || substr(h, 1 + 8 * k.i, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM {four}, range(4) k(i)))"
+
+
+_ONE = f"{_LONG}, one AS (SELECT id, condition, {_CNT} FROM lg GROUP BY id, condition)"
+_BOOT = f"{_ONE}, bt AS (SELECT replicate, condition, sum(tp * times) AS tp, sum(fp * times) AS fp, sum(fn * times) AS fn FROM {_drawn('one')} WHERE times > 0 GROUP BY ALL), rt AS (SELECT replicate, condition, {_rates()} FROM bt)"
+
 
+def _pct(value: str = "f1") -> str:
+    return f"round(quantile_cont({value}, 0.025), 6) AS low, round(quantile_cont({value}, 0.5), 6) AS median, round(quantile_cont({value}, 0.975), 6) AS high"
 
-def _indexed(spark, d) -> tuple[DataFrame, int]:
-    """Counts of each document and condition, documents numbered from 0 in order of their id within blocks of ids."""
-    rows = M.label_counts(_long(spark, d), "id", "condition").withColumn("block", F.expr("id div 4096"))
-    ids = cut(rows.select("id", "block").distinct())
-    sizes = ids.groupBy("block").count()
-    before = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("below"))
-    idx = ids.join(sizes, "block").select("id", (F.col("below") + F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1).alias("idx"))
-    return cut(rows.join(idx, "id")), ids.count()
 
+def _counted(spark, d) -> DataFrame:
+    return cut(M.label_counts(_long(spark, d), "id", "condition"))
 
-@query("q_bootstrap", f"WITH {_BOOT}, m AS (SELECT replicate, {_rates('sum(tp)', 'sum(fp)', 'sum(fn)')} FROM bt GROUP BY replicate) SELECT {_PCT} FROM m")
+
+@query(
+    "q_bootstrap",
+    f"""WITH {_BOOT}, mi AS (SELECT replicate, {_rates('sum(tp)', 'sum(fp)', 'sum(fn)')} FROM bt GROUP BY replicate), ma AS (SELECT replicate, avg(f1) AS f1 FROM rt GROUP BY replicate)
+    SELECT 'micro' AS average, {_pct()} FROM mi UNION ALL SELECT 'macro', {_pct()} FROM ma""",
+)
 def bootstrap(spark, d):
-    """EVL-15: the micro F1 of 50 replicates."""
-    rows, n = _indexed(spark, d)
-    return _rounded(M.interval(M.bootstrap_f1(rows, n, 50), "f1"), "low", "median", "high")
+    """EVL-15: the micro and the macro F1 of 500 replicates."""
+    rows = _counted(spark, d)
+    micro, macro = M.bootstrap_f1(rows), M.bootstrap_macro(rows, "condition")
+    out = M.interval(micro.select(F.lit("micro").alias("average"), "f1").unionByName(macro.select(F.lit("macro").alias("average"), "f1")), "f1", "average")
+    return _rounded(out, "low", "median", "high")
 
 
-@query("q_bootstrap_classes", f"WITH {_BOOT}, m AS (SELECT replicate, condition, {_rates()} FROM bt) SELECT condition, {_PCT} FROM m GROUP BY condition")
+@query("q_bootstrap_classes", f"WITH {_BOOT} SELECT condition, s.score, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.975), 6) AS high FROM (SELECT condition, unnest(['precision', 'recall', 'f1']) AS score, unnest([precision, recall, f1]) AS value FROM rt) s GROUP BY condition, s.score")
 def bootstrap_classes(spark, d):
-    """EVL-16."""
-    rows, n = _indexed(spark, d)
-    return _rounded(M.interval(M.bootstrap_f1(rows, n, 50, ("condition",)), "f1", "condition"), "low", "median", "high")
+    """EVL-16: precision, recall and F1 of each condition over 500 replicates."""
+    rates = M.bootstrap_f1(_counted(spark, d), keys=("condition",))
+    each = F.inline(F.array(*(F.struct(F.lit(c).alias("score"), F.col(c).alias("value")) for c in ("precision", "recall", "f1"))))
+    return _rounded(M.interval(rates.select("condition", each), "value", "condition", "score"), "low", "median", "high")
+
+
+@query("q_bootstrap_reward", f"WITH {_PAIRS}, {_FACTS}, one AS (SELECT id, {_reward('ps', 'rs')} AS f FROM fa), m AS (SELECT replicate, sum(f * times) / sum(times) AS mean FROM {_drawn('one')} GROUP BY replicate) SELECT {_pct('mean')} FROM m")
+def bootstrap_reward(spark, d):
+    """EVL-15: the mean reward of 500 replicates."""
+    rows = cut(_entity_scores(spark, d).select("id", "simple_f1"))
+    return _rounded(M.interval(M.bootstrap_mean(rows, "simple_f1"), "mean"), "low", "median", "high")
+
+
+def _bleu_sums(n: int) -> str:
+    ks = range(1, n + 1)
+    score = f"CASE WHEN {' AND '.join(f'hit_{k} > 0' for k in ks)} THEN CASE WHEN pred_len >= ref_len THEN 1 ELSE exp(1 - ref_len / pred_len::DOUBLE) END * exp(({' + '.join(f'ln(greatest(hit_{k}, 1) / total_{k}::DOUBLE)' for k in ks)}) / {n}) ELSE 0 END"
+    one = f"one AS (SELECT tk.id, len(p) AS pred_len, len(r) AS ref_len, {', '.join(f'greatest(len(p) - {k - 1}, 0) AS total_{k}, coalesce(h{k}.hit, 0) AS hit_{k}' for k in ks)} FROM tk {' '.join(f'LEFT JOIN h{k} ON h{k}.id = tk.id' for k in ks)})"
+    names = ["pred_len", "ref_len", *(f"{c}_{k}" for k in ks for c in ("total", "hit"))]
+    return f"WITH {_PAIRS}, {', '.join(_grams(k) for k in ks)}, {one}, sm AS (SELECT replicate, {', '.join(f'sum({c} * times) AS {c}' for c in names)} FROM {_drawn('one')} GROUP BY replicate), m AS (SELECT {score} AS score FROM sm) SELECT {_pct('score')} FROM m"
+
+
+@query("q_bootstrap_bleu", _bleu_sums(4))
+def bootstrap_bleu(spark, d):
+    """EVL-1: the interval of BLEU-4 over 500 replicates."""
+    return _rounded(M.interval(M.bootstrap_bleu(cut(_pairs(spark, d)), 4), "score"), "low", "median", "high")

@@ -50,6 +50,10 @@ def nearest(spark, d):
 )
 def noise_merge(spark, d):
     """AGG-15, AGG-23: a vector's own cluster goes before the assigned one."""
+    return _merged(spark, d)
+
+
+def _merged(spark, d):
     known, _ = _split(spark, d)
     own = known.select("vec_id", F.col("label").alias("cluster"), F.lit(0).alias("gained"))
     given = _assigned(spark, d).select(F.col("id").alias("vec_id"), "cluster", F.lit(1).alias("gained"))
@@ -57,6 +61,16 @@ def noise_merge(spark, d):
     return every.groupBy("cluster").agg(F.count_if(F.col("gained") == 0).alias("before"), F.count_if(F.col("gained") == 1).alias("gained"), F.count(F.lit(1)).alias("after"))
 
 
+@query(
+    "q_top_receivers",
+    f"""WITH {_BEST}, a AS (SELECT label AS cluster, count(*) AS before FROM embeddings WHERE label <> 0 GROUP BY label), g AS (SELECT cluster, count(*) AS gained FROM b GROUP BY cluster)
+    SELECT cluster, before, gained, before + gained AS after FROM a JOIN g USING (cluster) ORDER BY gained DESC, cluster LIMIT 10""",
+)
+def top_receivers(spark, d):
+    """AGG-23: the ten clusters that gain most."""
+    return _merged(spark, d).where("gained > 0").orderBy(F.desc("gained"), "cluster").limit(10)
+
+
 @query("q_similarity_percentiles", f"WITH {_BEST} SELECT round(quantile_cont(similarity, 0.05), 6) AS p05, round(quantile_cont(similarity, 0.25), 6) AS p25, round(quantile_cont(similarity, 0.5), 6) AS p50, round(quantile_cont(similarity, 0.75), 6) AS p75, round(quantile_cont(similarity, 0.95), 6) AS p95 FROM b")
 def similarity_percentiles(spark, d):
     """AGG-22."""
@@ -155,11 +169,11 @@ def clip(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(V.norm(v), 6).alias("norm"), F.round(V.norm(V.clip(v, 1.0)), 6).alias("clipped_norm"))
 
 
-@query("q_noise_sigma", "SELECT 'finite' AS mode, round(2 * 1.0::DOUBLE / 8 * sqrt(2 * ln(1.25::DOUBLE / 2.8643446e-5::DOUBLE)), 6) AS sigma UNION ALL SELECT 'clip_only', 0.0::DOUBLE")
+@query("q_noise_sigma", "WITH n AS (SELECT source, 1.0::DOUBLE / count(*) AS delta FROM documents GROUP BY source) SELECT source, round(2 * 1.5::DOUBLE / 8 * sqrt(2 * ln(1.25::DOUBLE / delta)), 6) AS sigma, 0.0::DOUBLE AS clip_only FROM n")
 def noise_sigma(spark, d):
-    """VEC-6, VEC-7."""
-    rows = [("finite", V.noise_std(1.0, 8.0, 2.8643446e-5)), ("clip_only", V.noise_std(1.0, float("inf"), 1e-5))]
-    return spark.createDataFrame(rows, "mode string, sigma double").withColumn("sigma", F.round("sigma", 6))
+    """VEC-6, VEC-7: of each source, whose delta is one over its rows."""
+    n = table(spark, d, "documents").groupBy("source").agg((1.0 / F.count(F.lit(1))).alias("delta"))
+    return n.select("source", F.round(V.noise_std(1.5, 8.0, F.col("delta")), 6).alias("sigma"), V.noise_std(1.5, float("inf"), F.col("delta")).alias("clip_only"))
 
 
 @query(
@@ -180,16 +194,21 @@ def round4(spark, d):
     return table(spark, d, "embeddings").select("vec_id", V.round_even(F.col("embedding")[0].cast("double"), 4).alias("r"))
 
 
-@query("q_clip_sum", f"WITH {_LONG}, n AS (SELECT pos, x * least(1.0::DOUBLE, 0.9::DOUBLE / (sqrt(sum(x * x) OVER (PARTITION BY vec_id)) + 1e-6::DOUBLE)) AS c FROM l) SELECT pos::INTEGER AS pos, round(sum(c), 6) AS total FROM n GROUP BY pos")
+@query(
+    "q_clip_sum",
+    f"""WITH {_LONG}, n AS (SELECT pos, x * least(1.0::DOUBLE, 0.9::DOUBLE / (sqrt(sum(x * x) OVER (PARTITION BY vec_id)) + 1e-6::DOUBLE)) AS c FROM l),
+    s AS (SELECT pos, sum(c) AS total, '11:' || pos AS k FROM n GROUP BY pos)
+    SELECT pos::INTEGER AS pos, round(total + 0.54::DOUBLE * sqrt(-2 * ln((('0x' || substr(md5(k || ':a'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) * cos(2 * pi() * ((('0x' || substr(md5(k || ':b'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)), 6) AS total FROM s""",
+)
 def clip_sum(spark, d):
-    """VEC-8."""
-    return O.clipped_sum(table(spark, d, "embeddings"), "embedding", 0.9).withColumn("total", F.round("total", 6))
+    """VEC-8: clipped vectors summed, and noise on the sum."""
+    return O.clipped_sum(table(spark, d, "embeddings"), "embedding", 0.9, 0.6, 11).withColumn("total", F.round("total", 6))
 
 
-@query("q_steps", "SELECT (ceil(34912 / (8 * 4 * 2)::DOUBLE) * 2)::BIGINT AS steps")
+@query("q_steps", "SELECT source, (ceil(count(*) / (8 * 4 * 2)::DOUBLE) * 2)::BIGINT AS steps FROM documents GROUP BY source")
 def steps(spark, d):
-    """MTH-1."""
-    return spark.createDataFrame([(V.steps(34912, 8, 4, 2, 2),)], "steps long")
+    """MTH-1: a run over the rows of each source."""
+    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", V.steps(F.col("n"), 8, 4, 2, 2).alias("steps"))
 
 
 @query("q_reencode_set", f"WITH a AS (SELECT doc_id, CASE WHEN source = 'src7' THEN '___ ' ELSE '' END || text AS t FROM documents) SELECT doc_id FROM a WHERE contains(t, '___')")
