@@ -211,9 +211,12 @@ def placeholders(c: Column) -> Column:
 
 def variants(c: Column, forms: dict[str, list[str]]) -> Column:
     """STR-17: the canonical text, then it with one phrase replaced by one of its short forms, for each of them it holds."""
-    base = canonical(c)
-    each = [F.when(F.contains(base, F.lit(long)), F.replace(base, F.lit(long), F.lit(short.lower()))) for long, shorts in forms.items() for short in shorts]
-    return F.array_distinct(F.filter(F.array(base, *each), lambda x: x.isNotNull()))
+
+    def of(base: Column) -> Column:
+        each = [F.when(F.contains(base, F.lit(long)), F.replace(base, F.lit(long), F.lit(short.lower()))) for long, shorts in forms.items() for short in shorts]
+        return F.array_distinct(F.filter(F.array(base, *each), lambda x: x.isNotNull()))
+
+    return bound(canonical(c), of)
 
 
 def boundary_pattern(term: str) -> str:

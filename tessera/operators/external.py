@@ -54,10 +54,26 @@ def encoded(df: DataFrame, text: str, encoder: Callable[[], Encoder]) -> DataFra
         for b in batches:
             yield b.assign(embedding=list(model.encode(b[text].tolist())))
 
+    # Python sees each text once, in batches of rows that Spark bounds.
     once = df.select(text).where(F.col(text).isNotNull()).distinct().mapInPandas(run, f"{text} string, embedding array<float>")
     return df.join(once, text, "left")
 
 
+class LetterCounts:
+    """A stub whose vectors a query can state: how often each letter from a to z stands in the lower-cased text."""
+
+    def encode(self, texts: Sequence[str]) -> np.ndarray:
+        low = [t.lower() for t in texts]
+        return np.array([[t.count(chr(97 + k)) for k in range(26)] for t in low], dtype=np.float32).reshape(len(texts), 26)
+
+
+def with_memo(df: DataFrame, text: str, memo: DataFrame, encoder: Callable[[], Encoder]) -> tuple[DataFrame, DataFrame]:
+    """MDL-2, MDL-3: df with `embedding` and `known`, and the memo (text, embedding) with what was new: only texts that it lacks are encoded, each once."""
+    new = encoded(df.select(text).where(F.col(text).isNotNull()).join(memo.select(text), text, "left_anti").distinct(), text, encoder)
+    every = memo.withColumn("known", F.lit(True)).unionByName(new.withColumn("known", F.lit(False)))
+    return df.join(every, text, "left"), every.drop("known")
+
+
 def retried(call: Callable[[], str], tries: int = 5, sleep: Callable[[float], None] = time.sleep) -> str | None:
     """LLM-1: 30 s times 2^k after a rate limit, 2^k s after another error; None when all tries failed."""
     for k in range(tries):

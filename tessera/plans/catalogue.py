@@ -22,6 +22,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from tessera.plans import curation, measures, privacy, taxonomy, texts, vectors  # noqa: F401
+    from tessera.plans import curation, files, measures, models, privacy, taxonomy, texts, vectors  # noqa: F401
 
     return QUERIES, SQL

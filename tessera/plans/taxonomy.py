@@ -189,8 +189,7 @@ def augment(spark, d):
     return X.augment(docs, "doc_id", known, compute).select("doc_id", "text_md5", F.array_join("final_categories", "|").alias("final_categories"), "has_image_inferable")
 
 
-@query("q_merge_rounds", "SELECT max(substr(name, 7)::INTEGER) AS last_round FROM (VALUES ('round_1'), ('round_2'), ('round_10')) v(name)")
+@query("q_merge_rounds", "SELECT p_type, max(substr(p_brand, 7)::INTEGER) AS last_round FROM part GROUP BY p_type")
 def merge_rounds(spark, d):
-    """LLM-8: the highest round on record is the one to go on from."""
-    names = spark.createDataFrame([("round_1",), ("round_2",), ("round_10",)], "name string")
-    return names.agg(F.max(F.substring("name", 7, 9).cast("int")).alias("last_round"))
+    """LLM-8: of the rounds on record (brands, whose numbers don't sort as text) the highest is the one to go on from."""
+    return table(spark, d, "part").groupBy("p_type").agg(F.max(F.substring("p_brand", 7, 9).cast("int")).alias("last_round"))

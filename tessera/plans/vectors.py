@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
+from tessera.operators import cluster, external
 from tessera.operators import taxonomy as X
 from tessera.operators import vectors as O
 from tessera.plans.catalogue import query
-from tessera.session import cut, table
+from tessera.session import cut, scratch, table
+from tessera.sources import sinks
 
 NOISE = 0
 _DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
@@ -145,13 +146,27 @@ def best_params(spark, d):
     return s.agg(F.min_by("run", F.struct(-F.round("score", 9), "run")).alias("x"), F.min_by("run", F.struct(-F.col("b"), "run")).alias("y")).select(F.inline(F.array(F.struct(F.lit("mean_rank").alias("rule"), F.col("x").alias("run")), F.struct(F.lit("argmax").alias("rule"), F.col("y").alias("run")))))
 
 
-@query("q_sweep_grid", "SELECT nn, nc, mcs, ms FROM (VALUES (15), (30), (50)) a(nn), (VALUES (8), (16), (32)) b(nc), (VALUES (50), (100), (200)) c(mcs), (VALUES (10), (25), (50)) e(ms) WHERE NOT (nn = 15 AND nc = 16)")
-def sweep_grid(spark, d):
-    """MDL-6, SNK-10: the grid of parameters without the runs that are done."""
-    axes = {"nn": (15, 30, 50), "nc": (8, 16, 32), "mcs": (50, 100, 200), "ms": (10, 25, 50)}
-    grid = reduce(lambda a, b: a.crossJoin(b), (spark.createDataFrame([(v,) for v in vs], f"{n} int") for n, vs in axes.items()))
-    done = spark.createDataFrame([(15, 16)], "nn int, nc int")
-    return grid.join(F.broadcast(done), ["nn", "nc"], "left_anti")
+_SIZES, _NEAR = (20, 40, 60), (0.2, 0.3, 0.4)
+
+
+@query(
+    "q_sweep",
+    f"""WITH {_XY}, m AS (SELECT label, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM xy GROUP BY label), f AS (SELECT label, n, sqrt(pow(x - mx, 2) + pow(y - my, 2)) AS far FROM xy JOIN m USING (label)),
+    g AS (SELECT s.size AS min_size, c.near AS reach FROM (VALUES {', '.join(f'({s})' for s in _SIZES)}) s(size), (VALUES {', '.join(f'({r}::DOUBLE)' for r in _NEAR)}) c(near))
+    SELECT min_size, reach, count(DISTINCT label) AS n_clusters, count(*) AS n_members, CASE WHEN min_size = 20 THEN 1 ELSE 2 END AS run FROM g, f WHERE n >= min_size AND far <= reach GROUP BY min_size, reach""",
+)
+def sweep(spark, d):
+    """MDL-6, SNK-10: metrics of every combination of two parameters, in folders; a second run leaves alone what the first one wrote."""
+    xy = _xy(spark, d)
+    m = xy.groupBy("label").agg(F.avg(F.col("x").cast("double")).alias("mx"), F.avg(F.col("y").cast("double")).alias("my"), F.count(F.lit(1)).alias("n"))
+    far = F.sqrt(F.pow(F.col("x").cast("double") - F.col("mx"), 2) + F.pow(F.col("y").cast("double") - F.col("my"), 2))
+    each = cut(xy.join(m, "label").select("label", "n", far.alias("far")))
+    grid = F.array(*(F.struct(F.lit(s).alias("min_size"), F.lit(r).alias("reach")) for s in _SIZES for r in _NEAR))
+    got = each.select("*", F.inline(grid)).where((F.col("n") >= F.col("min_size")) & (F.col("far") <= F.col("reach"))).groupBy("min_size", "reach").agg(F.count_distinct("label").alias("n_clusters"), F.count(F.lit(1)).alias("n_members"))
+    path = scratch(spark, "sweep")
+    sinks.per_parameters(got.where(f"min_size = {_SIZES[0]}").withColumn("run", F.lit(1)), path, "min_size", "reach")
+    sinks.per_parameters(got.withColumn("run", F.lit(2)), path, "min_size", "reach")
+    return spark.read.schema("n_clusters long, n_members long, run int, min_size int, reach double").parquet(path)
 
 
 @query("q_cluster_sample", f"WITH {_XY}, m AS (SELECT label, avg(x) AS mx, avg(y) AS my FROM xy GROUP BY label), f AS (SELECT label, vec_id, round(sqrt(pow(x - mx, 2) + pow(y - my, 2)), 12) AS far FROM xy JOIN m USING (label)), p AS (SELECT label, arg_min(vec_id, (far, vec_id)) AS vec_id FROM f GROUP BY label), s AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) AS sample_rank FROM xy ANTI JOIN p USING (label, vec_id)) SELECT label, vec_id, sample_rank FROM s WHERE sample_rank <= 30")
@@ -211,21 +226,43 @@ def steps(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n")).select("source", V.steps(F.col("n"), 8, 4, 2, 2).alias("steps"))
 
 
-@query("q_reencode_set", f"WITH a AS (SELECT doc_id, CASE WHEN source = 'src7' THEN '___ ' ELSE '' END || text AS t FROM documents) SELECT doc_id FROM a WHERE contains(t, '___')")
-def reencode_set(spark, d):
-    """MDL-2: the texts that the placeholder rewriting changes (beyond white space) are encoded anew."""
+@query(
+    "q_reencoded",
+    "WITH a AS (SELECT doc_id, contains(t, '___') AS changed, lower(replace(t, '___', '')) AS t FROM (SELECT doc_id, CASE WHEN source = 'src7' THEN '___ ' ELSE '' END || text AS t FROM documents)) SELECT doc_id, changed, length(t) - length(replace(t, 'e', '')) AS n_e, length(t) - length(replace(t, 'z', '')) AS n_z FROM a",
+)
+def reencoded(spark, d):
+    """MDL-1, MDL-2: only the texts that the placeholder rewriting changes are encoded anew, the others keep their vectors."""
     t = F.concat(F.when(F.col("source") == "src7", "___ ").otherwise(""), F.col("text"))
-    df = table(spark, d, "documents").select("doc_id", t.alias("t"))
-    return df.where(T.placeholders(F.col("t")) != T.pstrip(T.collapse(F.col("t")))).select("doc_id")
+    df = table(spark, d, "documents").select("doc_id", T.pstrip(T.collapse(t)).alias("before"), T.placeholders(t).alias("text"))
+    df = df.withColumn("changed", F.col("before") != F.col("text"))
+    memo = external.encoded(df.where(~F.col("changed")).select("text").distinct(), "text", external.LetterCounts)
+    got, _ = external.with_memo(df.select("doc_id", "changed", "text"), "text", cut(memo), external.LetterCounts)
+    return got.select("doc_id", "changed", F.col("embedding")[4].cast("long").alias("n_e"), F.col("embedding")[25].cast("long").alias("n_z"))
+
+
+@query("q_density")
+def density(spark, d):
+    """MDL-4, MDL-5, AGG-20: vectors reduced, clustered by density, the clusters' sizes and persistence. No SQL: a hierarchy over all pairs; tested against made clusters."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    got = cluster.clustered(cluster.pca(e, "embedding", 4), "vec_id", "reduced", 20, 5)
+    return got.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("persistence"), 6).alias("persistence"))
 
 
 @query(
     "q_unseen_parts",
-    f"WITH {_LONG}, c AS (SELECT label, pos, avg(x) AS mean FROM l WHERE label < 9 GROUP BY label, pos), cs AS (SELECT label AS cluster, list(mean ORDER BY pos) AS centroid FROM c GROUP BY label), s AS (SELECT vec_id, cluster, round({_DOT.format('embedding', 'centroid')} / ({_NORM} * sqrt({_DOT.format('centroid', 'centroid')})), 9) AS similarity FROM embeddings, cs WHERE label = 9) SELECT vec_id, arg_min(cluster, (-similarity, cluster)) AS cluster, true AS from_noise FROM s GROUP BY vec_id UNION ALL SELECT vec_id, label, false FROM embeddings WHERE label < 9",
+    """WITH t AS (SELECT DISTINCT role || ' ' || turn AS part FROM conversations), c AS (SELECT part, turn, list_transform(range(26), lambda i: (length(part) - length(replace(part, chr((97 + i)::INTEGER), '')))::DOUBLE) AS v FROM (SELECT part, split_part(part, ' ', 2)::INTEGER AS turn FROM t)),
+    k AS (SELECT * FROM c WHERE turn < 4), r AS (SELECT split_part(part, ' ', 1) AS cluster, any_value(v) AS centroid FROM k GROUP BY 1),
+    s AS (SELECT part, cluster, round(list_dot_product(v, centroid) / sqrt(list_dot_product(v, v) * list_dot_product(centroid, centroid)), 9) AS similarity FROM c, r WHERE turn >= 4)
+    SELECT part, arg_min(cluster, (-similarity, cluster)) AS cluster, true AS from_noise FROM s GROUP BY part UNION ALL SELECT part, split_part(part, ' ', 1), false FROM k""",
 )
 def unseen_parts(spark, d):
-    """MDL-3: parts of no cluster (label 9) are encoded once and take the nearest one; the encoder here reads the stored vector."""
-    e = table(spark, d, "embeddings")
-    seen, unseen = e.where("label < 9"), e.where("label = 9")
-    got = O.nearest(unseen, "vec_id", "embedding", cut(O.centroids(seen, "label", "embedding")))
-    return got.select(F.col("id").alias("vec_id"), "cluster", F.lit(True).alias("from_noise")).unionByName(seen.select("vec_id", F.col("label").alias("cluster"), F.lit(False).alias("from_noise")))
+    """MDL-3: parts that no cluster has yet are encoded once, take the cluster of the nearest centroid and are known from then on."""
+    parts = table(spark, d, "conversations").select(F.concat_ws(" ", "role", F.col("turn").cast("string")).alias("part")).distinct()
+    name, turn = F.substring_index("part", " ", 1), F.substring_index("part", " ", -1).cast("int")
+    seen = cut(parts.where(turn < 4).withColumn("cluster", name))
+    memo = cut(external.encoded(seen.select("part"), "part", external.LetterCounts))
+    names = seen.select("cluster").distinct().withColumn("no", F.dense_rank().over(Window.orderBy("cluster")))  # a few clusters
+    centers = cut(O.centroids(seen.join(memo, "part").join(names, "cluster"), "no", "embedding"))
+    new = external.with_memo(parts.join(seen, "part", "left_anti"), "part", memo, external.LetterCounts)[0]
+    got = O.nearest(new, "part", "embedding", centers).withColumnRenamed("cluster", "no").join(names, "no")
+    return got.select(F.col("id").alias("part"), "cluster", F.lit(True).alias("from_noise")).unionByName(seen.withColumn("from_noise", F.lit(False)))

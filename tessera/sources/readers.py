@@ -44,11 +44,15 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     text, or where there is no such key prediction; ground_truth, or where there is none reference. A key that is
     there with null stays null.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), "value")
+    lined = F.filter(F.split("value", "\n", -1), lambda x: F.length(F.trim(x)) > 0)
+    files = spark.read.text(path, wholetext=True).withColumn("lines", lined)
+    # A parser that stops after the first object would take lines for one: they are lines if each is an object.
+    several = (F.size("lines") > 1) & F.forall("lines", lambda x: F.startswith(F.trim(x), F.lit("{")) & F.try_parse_json(x).isNotNull())
+    whole = files.select(F.when(~several, F.try_parse_json("value")).alias("v"), "value", "lines")
     held = F.coalesce(*(F.variant_get("v", f"$.{k}", "variant") for k in ("data", "results", "predictions")))
     listed = F.when(F.startswith(F.trim("value"), F.lit("[")), F.col("v")).otherwise(held)
     items = whole.where("v is not null").select(F.coalesce(F.try_variant_get(listed, "$", "array<variant>"), F.array("v")).alias("items")).select(F.explode("items").alias("r"))
-    lines = whole.where("v is null").select(F.explode(F.split("value", "\n")).alias("line")).where(F.length(F.trim("line")) > 0).select(F.parse_json("line").alias("r"))
+    lines = whole.where("v is null").select(F.explode("lines").alias("line")).select(F.parse_json("line").alias("r"))
 
     def field(a: str, b: str) -> Column:
         there = F.array_contains(F.map_keys(F.try_variant_get("r", "$", "map<string, variant>")), a)
@@ -80,6 +84,11 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path").where(F.col("path").rlike(r"\.(jpg|JPG)$"))
 
 
+def flushed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """SNK-9 read back: the rows of all batches that were written whole, with their batch."""
+    return spark.read.schema(f"{schema}, batch int").json(path)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """SRC-11: NaN is null in every floating column."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType | T.FloatType)]

@@ -11,11 +11,18 @@ def json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def _one_file(rows: DataFrame, path: str, order: tuple[str, ...], ends: str) -> None:
+    """rows (order, _row) as one text file between two brackets: one task, as such a file is, which sorts and streams but holds no list."""
+    last = rows.limit(0).sparkSession.range(1).select(*(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order), F.lit(None).cast("string").alias("_row"))
+    every = rows.withColumn("_last", F.lit(0)).unionByName(last.withColumn("_last", F.lit(1)))
+    every = every.coalesce(1).sortWithinPartitions("_last", *order).withColumn("_at", F.monotonically_increasing_id())
+    opened = F.when(F.col("_at") == 0, ends[0]).otherwise(F.when(F.col("_last") == 0, ",").otherwise(""))
+    every.select(F.concat(opened, F.coalesce("_row", F.lit(ends[1]))).alias("value")).write.mode("overwrite").text(path)
+
+
 def json_array(df: DataFrame, path: str, *order: str) -> None:
-    """SNK-1: one file that is one array, in order. Its size is one task's, as such a file's is."""
-    row = F.to_json(F.struct(*df.columns))
-    one = df.agg(F.array_sort(F.collect_list(F.struct(*order, row.alias("_row")))).alias("rows"))
-    one.select(F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["_row"]), ",\n"), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """SNK-1: one file that is one array, in order."""
+    _one_file(df.select(*order, F.to_json(F.struct(*df.columns)).alias("_row")), path, order, "[]")
 
 
 def by_split(df: DataFrame, path: str, split: str = "split") -> None:
@@ -24,11 +31,10 @@ def by_split(df: DataFrame, path: str, split: str = "split") -> None:
 
 
 def json_map(df: DataFrame, path: str, key: str) -> None:
-    """SNK-4: one object by key; rows stay in Parquet for further use."""
-    value = F.to_json(F.struct(*(c for c in df.columns if c != key)))
-    entry = F.concat(F.to_json(F.struct(F.col(key).cast("string").alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(key).cast("string").alias("k")))) - 6), F.lit(": "), value)
-    one = df.agg(F.array_sort(F.collect_list(entry)).alias("rows"))
-    one.select(F.concat(F.lit("{"), F.array_join("rows", ",\n"), F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """SNK-4: one object by key, in its order; rows stay in Parquet for further use."""
+    name = F.to_json(F.struct(F.col(key).cast("string").alias("k")))
+    entry = F.concat(name.substr(F.lit(6), F.length(name) - 6), F.lit(": "), F.to_json(F.struct(*(c for c in df.columns if c != key))))
+    _one_file(df.select(key, entry.alias("_row")), path, (key,), "{}")
 
 
 def vectors(df: DataFrame, path: str) -> None:
@@ -48,10 +54,15 @@ def metrics_json(df: DataFrame, path: str) -> None:
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    """SNK-8, SNK-9: entries added to those there are."""
+    """SNK-8: entries added to those there are."""
     df.write.mode("append").json(path)
 
 
+def flush(df: DataFrame, path: str, batch: int) -> None:
+    """SNK-9: one batch of predictions, whole as soon as it is written; writing it once more, after a failure, replaces it."""
+    df.write.mode("overwrite").json(f"{path}/batch={batch:06d}")
+
+
 def per_parameters(df: DataFrame, path: str, *parameters: str) -> None:
     """SNK-10: a folder for each combination; those already there are kept, so a sweep can go on."""
     spark = df.sparkSession

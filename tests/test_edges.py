@@ -47,6 +47,11 @@ def test_results(spark, tmp_path, text):
     assert [(r["pred"], r["ref"]) for r in got] == [("p", "r")]
 
 
+def test_results_of_lines_are_all_there(spark, tmp_path):
+    path = put(tmp_path, "r.jsonl", "".join(json.dumps({"text": f"p{i}", "ground_truth": "r"}) + "\n" for i in range(3)))
+    assert sorted(r["pred"] for r in readers.results(spark, path).collect()) == ["p0", "p1", "p2"]
+
+
 def test_results_keep_a_null_that_is_there(spark, tmp_path):
     got = readers.results(spark, put(tmp_path, "r.json", '[{"text": null, "prediction": "p"}]')).collect()
     assert [(r["pred"], r["ref"]) for r in got] == [(None, None)]
@@ -143,13 +148,14 @@ def test_annotator(spark):
 def test_density_clusters(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.1, (40, 2)) for c in ((0, 0), (3, 3), (0, 4))] + [rng.uniform(-20, 20, (8, 2))])
-    labels = cluster.density_clusters(x, 15, 5)
+    labels, kept = cluster.density_clusters(x, 15, 5)
+    assert len(kept) == 3 and all(0 < p <= 1 for p in kept)
     assert len(set(labels[:120]) - {-1}) == 3 and all(len(set(labels[k : k + 40]) - {-1}) == 1 for k in (0, 40, 80))
     assert (labels[:120] >= 0).mean() > 0.9 and (labels[120:] == -1).mean() > 0.7
     df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "i long, v array<double>")
     assert {r["id"]: r["cluster_id"] for r in cluster.clustered(df, "i", "v", 15, 5).collect()} == dict(enumerate(labels.tolist()))
     assert len(cluster.pca(df, "v", 1).first()["reduced"]) == 1
-    assert (cluster.density_clusters(x[:3], 15, 5) == -1).all()
+    assert (cluster.density_clusters(x[:3], 15, 5)[0] == -1).all()
 
 
 def test_replay(spark):
