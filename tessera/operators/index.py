@@ -31,15 +31,13 @@ def counts(links: DataFrame, key: str) -> DataFrame:
     return links.groupBy("fragment").agg(F.count(F.lit(1)).alias("cnt"), F.min(key).alias("first_ord"))
 
 
-def ranked(df: DataFrame, text: str, name: str = "idx") -> DataFrame:
-    """WIN-1: ids from 0 by word count, most first, then by text.
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with ids from 0 in an order that tells all rows apart.
 
-    No task ranks the whole table: rows are sorted within ranges of (word count, text) that Spark balances by a sample,
-    and written; a row's place in its part, which is read in that order, is offset by the counts of the parts before.
+    No task ranks the whole table: rows are sorted within ranges that Spark balances by a sample, and written; a row's
+    place in its part, which is read in that order, is offset by the counts of the parts before.
     """
-    rows = df.withColumn("word_count", T.word_count(F.col(text)))
-    order = (F.desc("word_count"), F.asc(text))
-    rows = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
     part = F.shiftright("_at", 33)
     sizes = rows.groupBy(part.alias("_part")).count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
@@ -48,6 +46,11 @@ def ranked(df: DataFrame, text: str, name: str = "idx") -> DataFrame:
     return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_at")
 
 
+def ranked(df: DataFrame, text: str, name: str = "idx") -> DataFrame:
+    """WIN-1: ids from 0 by word count, most first, then by text."""
+    return numbered(df.withColumn("word_count", T.word_count(F.col(text))), name, F.desc("word_count"), F.asc(text))
+
+
 def batch_id(idx: Column, size: int = 20) -> Column:
     """WIN-2."""
     return F.format_string("batch_%06d", F.floor(idx / size))

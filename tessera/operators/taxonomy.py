@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.index import numbered
+
 
 def replay(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """LLM-5, LLM-6: categories (category_id, name, definition), members (category_id, item) and quarantined entries of a decision log.
@@ -14,7 +16,7 @@ def replay(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     log: ord, item, action, category_id, name, definition. A create opens the next id; assign and fix go to an id that
     was open before them; fix, and create, set the definition, the last one staying. Anything else is quarantined.
     """
-    created = log.where("action = 'create'").select("ord", "item", "name", "definition", (F.row_number().over(Window.orderBy("ord")) - 1).alias("category_id"))
+    created = numbered(log.where("action = 'create'").select("ord", "item", "name", "definition"), "category_id", F.asc("ord"))
     later = log.where("action in ('assign', 'fix')").select("ord", "item", "action", "category_id", "definition")
     opened = created.select("category_id", F.col("ord").alias("opened"))
     valid = later.join(opened, "category_id").where("ord > opened")

@@ -15,9 +15,9 @@ def records(spark: SparkSession, folder: str, schema: str, files_at_once: int =
 
 
 def categorized(stream: DataFrame, key: str, reason: str, categories: DataFrame) -> DataFrame:
-    """key, pos, fragment, final_category: a static table of fragments joined to a stream's (JOI-5's shape); "" where unknown."""
+    """key, pos, fragment, final_category: a static table of fragments joined to a stream's (JOI-5's shape); "" where unknown. Spark broadcasts the table if its size allows."""
     parts = I.fragments(stream, key, reason)
-    return parts.join(F.broadcast(categories.select("fragment", "final_category")), "fragment", "left").withColumn("final_category", F.coalesce("final_category", F.lit("")))
+    return parts.join(categories.select("fragment", "final_category"), "fragment", "left").withColumn("final_category", F.coalesce("final_category", F.lit("")))
 
 
 def append(stream: DataFrame, out: str, checkpoint: str, key: str) -> StreamingQuery:

@@ -7,7 +7,7 @@ import json
 import numpy as np
 import pytest
 
-from tessera.operators import cluster, external, taxonomy
+from tessera.operators import cluster, external, taxonomy, vectors
 from tessera.sources import readers, sinks
 from tessera.sources.config import Config
 
@@ -145,6 +145,17 @@ def test_annotator(spark):
     assert sorted((r["t"], r["annotation"]) for r in got) == [("a b", 2), ("c", 1)]
 
 
+def test_nearest_in_one_pass_and_in_many(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(60)] + [(60, [0.0] * 5)], "i long, v array<double>")
+    rows = [(c, rng.normal(size=5).tolist()) for c in range(7)]
+    centers = spark.createDataFrame(rows + [(c + 7, v) for c, v in rows], "cluster int, centroid array<double>")  # each twice: the lower one wins
+    one, many = ({r["id"]: (r["cluster"], round(r["similarity"], 9)) for r in vectors.nearest(df, "i", "v", centers, few).collect()} for few in (100, 3))
+    unit = np.array([v for _, v in rows]) / np.linalg.norm([v for _, v in rows], axis=1)[:, None]
+    best = {r["i"]: int(np.argmax(unit @ np.array(r["v"]))) for r in df.collect()}
+    assert one == many and {i: c for i, (c, _) in one.items()} == best
+
+
 def test_density_clusters(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(c, 0.1, (40, 2)) for c in ((0, 0), (3, 3), (0, 4))] + [rng.uniform(-20, 20, (8, 2))])
