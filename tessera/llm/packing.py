@@ -8,8 +8,8 @@ until bins empty or nothing helps. Where that leaves more bins than the sum of l
 from the bins that best-fit decreasing leaves underfull, and the better of its two results is taken.
 
 The plan says which ranks of each length go to which run of bins. Pieces are ranked within their length without
-gathering one: rows are counted by buckets of a hash, and ranked within a bucket; buckets and cells of the
-plan grow in number with the rows of a length, so no length, however common, meets in one task.
+gathering one: rows are counted by buckets of a hash, and ranked within a bucket; a length has as many buckets as the
+square root of its rows, and as many cells of the plan as runs, so no length, however common, meets in one task.
 
 Defined cases: a null text counts as empty and packs as its end token alone; very long texts are encoded whole and cut
 into pieces; repeated rows are packed each; an empty table gives an empty result; null ids stay null; other columns
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, deque
@@ -36,8 +37,6 @@ from tessera.llm.common import bound_batches, cut, table, trim
 
 SIZE = 4096
 END_ID = 1
-#: Rows of a length that one bucket of ranks holds, about.
-_BUCKET = 16_384
 #: Rows of the plan (about 60 bytes each) that every worker may be given; a longer plan is exchanged and joined.
 FEW = 500_000
 #: Lengths in a bin, sorted.
@@ -288,7 +287,7 @@ def pack(parts: DataFrame, size: int = SIZE, few: int = FEW) -> DataFrame:
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     cells, width = in_cells(plan(counts, size), counts)
     runs = spark.createDataFrame(pa.Table.from_pandas(cells.astype("int64"), preserve_index=False))
-    lengths = spark.createDataFrame([(n, w, -(-counts[n] // _BUCKET)) for n, w in width.items()], "length long, width long, buckets long")
+    lengths = spark.createDataFrame([(n, w, math.isqrt(counts[n]) + 1) for n, w in width.items()], "length long, width long, buckets long")
     rows = parts.join(F.broadcast(lengths), "length").withColumn("bucket", F.expr("pmod(xxhash64(id, piece, ids_crc32), buckets)"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     below = rows.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("below"))

@@ -162,10 +162,9 @@ def test_similar(spark, monkeypatch, limit):
     missed = sum(same(i, j) and got[i] != got[j] for i in range(len(texts)) for j in range(i))
     joined = sum(roots[i] != roots[j] and got[i] == got[j] for i in range(len(texts)) for j in range(i))
     total = sum(same(i, j) for i in range(len(texts)) for j in range(i))
-    assert not joined and total > 20 and missed <= (0 if limit > 100 else 0.2 * total)
+    assert not joined and total > 20 and not missed
     left = {r["doc_id"] for r in similar.drop_similar(df).collect()}
-    if limit > 100:
-        assert left == {min(i for i in range(len(texts)) if roots[i] == r) for r in set(roots)}
+    assert left == {min(i for i in range(len(texts)) if roots[i] == r) for r in set(roots)}
 
 
 def test_warc(spark, world):
@@ -266,7 +265,7 @@ def test_decontaminate_slots_must_be_consistent(spark):
     docs = [(1, "Paul buys 6 pens. Then Paul sells 3 pens to her friend for 8 euros and goes home."), (2, "Paul buys 6 pens. Then Peter sells 3 pens to her friend for 8 euros and goes home."), (3, "pad " * 400_000 + "Paul buys 6 pens. Then Paul sells 3 pens to her friend for 8 euros and goes home.")]
     docs.append((4, "x" * 1_500_000 + " Paul buys 6 pens. Then Paul sells 3 pens to her friend for 8 euros and goes home."))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for few in (0, decontaminate.FEW):
+    for few in (0, decontaminate.FEW_BYTES):
         assert {r["id"]: r["changed"] for r in decontaminate.contaminated(df, item, few=few).collect()} == {1: True, 3: True, 4: True}
 
 
@@ -581,9 +580,8 @@ def test_the_search_makes_the_packing(monkeypatch):
 
 
 @pytest.mark.parametrize("few", [0, packing.FEW])
-def test_packing_joins_long_and_short_plans(spark, monkeypatch, few):
+def test_packing_joins_long_and_short_plans(spark, few):
     """Many pieces of few lengths, in many buckets and cells."""
-    monkeypatch.setattr(packing, "_BUCKET", 16)
     rng = random.Random(3)
     rows = [(i, 0, rng.choice((5, 5, 5, 7, 11, 12)), i % 7) for i in range(900)]
     parts = spark.createDataFrame(rows, "id long, piece int, length long, ids_crc32 long")
@@ -643,6 +641,15 @@ def test_exact_links_of_blocks_are_those_of_one_task(spark, monkeypatch):
         assert got == want
 
 
+def test_similar_joins_a_very_large_family(spark):
+    """Ten thousand variants of one text, all alike to 0.8 and more, beside others that aren't: several times what one task compares at once."""
+    texts = family(7, 10_500, (1, 2, 3)) + family(8, 40, (120, 130)) + ["a b c d e f g"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(16)
+    got = {r["id"]: r["root"] for r in similar.groups(df).collect()}
+    assert len({got[i] for i in range(10_500)}) == 1 and len({got[i] for i in range(10_500, len(texts))}) == 41
+    assert similar.drop_similar(df).count() == 42
+
+
 def test_similar_loses_nothing_in_large_band_keys(spark, monkeypatch):
     """Many band keys hold more than LIMIT texts; what a plain comparison joins is joined."""
     monkeypatch.setattr(similar, "LIMIT", 4)
@@ -678,7 +685,7 @@ def test_decontaminate_passages_of_changed_case(spark):
     items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
     docs = [f"so: {f(t)} yes" for t in texts for f in (str, str.upper, str.lower, str.title)] + ["PAUL BUYS 6 PENS. THEN PETER SELLS 3 PENS TO HER FRIEND FOR 8 EUROS AND GOES HOME."]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    for few in (0, decontaminate.FEW):
+    for few in (0, decontaminate.FEW_BYTES):
         got = {(r["id"], r["item"], r["changed"], r["found"] == r["of"]) for r in decontaminate.contaminated(df, items, few=few).collect()}
         assert got == {(k, k // 4, False, True) for k in range(8)}
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 import corpus_pipeline as C
 from tessera.llm import toxicity
+from tests.llm.conftest import DATA
 from tests.llm.test_operators import AZ, join_up, shingles
 
 
@@ -76,5 +79,27 @@ def test_kept_apart(spark):
     for p in (root / "tessera").rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "tessera.llm" not in p.read_text(), p
-    code = "import importlib.util as u, sys; f = u.find_spec; u.find_spec = lambda n, *a: None if n in ('tessera.llm.registry', 'corpus_pipeline') else f(n, *a); import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and not any(k.startswith('op') or k == 'pipeline' for k in q)"
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and not any(k.startswith('op') or k == 'pipeline' for k in q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, check=False).returncode == 0
+
+
+def test_a_run_goes_on_where_it_was_stopped(spark, monkeypatch, tmp_path):
+    """The first try fails in its third stage; the second one runs that and the rest alone, and leaves the last table only."""
+    done = []
+
+    def stage(name, breaks=False):
+        def f(spark, docs, sf_dir):
+            done.append(name)
+            if breaks and done.count(name) == 1:
+                raise RuntimeError("lost")
+            return docs.where("doc_id % 2 = 0") if name == "b" else docs
+
+        return name, f
+
+    monkeypatch.setattr(C, "STAGES", [stage("a"), stage("b"), stage("c", True), stage("d")])
+    base = str(tmp_path / "run")
+    with pytest.raises(RuntimeError):
+        C.run(spark, DATA, base)
+    got = C.run(spark, DATA, base)
+    assert done == ["a", "b", "c", "c", "d"] and got.count() == spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id % 2 = 0").count()
+    assert [p.name for p in (tmp_path / "run").iterdir()] == ["3"]
