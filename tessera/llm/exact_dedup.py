@@ -3,7 +3,8 @@
 Native: DataFrame operations only.
 
 Defined cases: a null text counts as empty; a null id is below every other id; rows that repeat an id within
-a group of equal texts count one by one, and exactly one of the rows with the largest id stays; an empty table
+a group of equal texts count one by one, and exactly one of the rows with the largest id stays; very long texts are
+compared whole; an empty table
 gives an empty result; other columns, whatever their names, play no part.
 """
 
@@ -39,8 +40,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     """One row for each row of docs: id, digest, keep_id, group_size, kept.
 
     Rows are keyed by digest, but every merge also compares the full text: first within each task (the partial
-    aggregate before the exchange), then within each salt of a hot digest, then over the salts' winners. Only
-    hot digests need the third stage, so each distinct text of the others crosses the network once. The way
+    aggregate before the exchange), then within each salt of a hot digest, then over the salts' winners. One
+    aggregate serves the first two, as digests that aren't hot have one salt; only hot digests need the third, so each
+    distinct text of the others crosses the network once. The way
     back to the rows uses digests alone; should two texts ever share one, it compares full texts too.
     """
     rows = docs.select(F.col(id_col).alias("id"), _normal(F.col(text_col)).alias("norm"))
@@ -48,9 +50,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     ids = cut(rows.select("id", "digest"))
     hot = F.broadcast(_hot(ids))
     merge = (F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    cold = rows.join(hot, "digest", "left_anti").groupBy("digest", "norm").agg(*merge)
-    salted = rows.join(hot, "digest", "left_semi").withColumn("salt", _salt(F.col("id"))).groupBy("digest", "norm", "salt").agg(*merge)
-    warm = salted.groupBy("digest", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    marked = rows.join(hot.withColumn("hot", F.lit(True)), "digest", "left").withColumn("salt", F.when(F.col("hot"), _salt(F.col("id"))).otherwise(0))
+    # A flag of the aggregate, not of its rows, tells them apart, so both branches read one exchange.
+    salted = marked.groupBy("digest", "norm", "salt").agg(*merge, F.bool_or(F.col("hot")).alias("many"))
+    cold = salted.where("many is null").select("digest", "norm", "keep_id", "group_size")
+    warm = salted.where("many").groupBy("digest", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     won = cold.unionByName(warm)
     winners = cut(won.select("digest", "keep_id", "group_size"))
     if winners.groupBy("digest").count().where("count > 1").isEmpty():
