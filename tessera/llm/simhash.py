@@ -3,8 +3,9 @@
 A fingerprint is the bitwise majority of the XXH64 hashes (seed 42) of a text's word shingles, repeats included.
 Distinct fingerprints stand for all their documents, so copies cost nothing further. Two fingerprints within
 MAX_BITS = 3 bits agree wholly in two of five blocks of bits at least; each is listed under each pair of blocks,
-which proposes every such pair and few others. Within a block key, rows carry their Hamming distances to PIVOTS
-fixed reference fingerprints: two that differ in any of these coordinates by more than MAX_BITS can't be close
+which brings every such pair into one run, and few others. Within a run rows carry their Hamming distances to PIVOTS
+fixed reference fingerprints, and are sorted by the first: a row meets those within MAX_BITS of it in that coordinate
+alone, and of them two that differ in any other coordinate by more than MAX_BITS can't be close either
 (triangle inequality) and are discarded; the exact distance is taken of the survivors only.
 
 A key with more than LIMIT fingerprints is listed again under pairs of blocks of its remaining bits, and so on
@@ -13,7 +14,7 @@ and no pair is lost. Of a key's links only a spanning forest is kept, so links s
 
 Defined cases: a null text counts as empty; texts without a word have fingerprint zero and link like any other;
 fewer words than a shingle make one shingle; null ids are ignored when a component is named by its least id
-(null when it has no other); repeated rows count one by one; an empty table gives an empty result; other columns
+(null when it has no other); very long texts are hashed whole, a part at a time; repeated rows count one by one; an empty table gives an empty result; other columns
 play no part.
 """
 
@@ -84,18 +85,20 @@ def _listed(fps: DataFrame, masks: list[int]) -> DataFrame:
 def close_in_run(fps: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) within equal runs whose fingerprints are within MAX_BITS bits; runs is sorted."""
     tables = np.bitwise_count(fps[:, None] ^ PIVOTS).astype(np.int8)  # the pivot distance table of these rows
+    order = np.lexsort((tables[:, 0], runs))
+    fps, tables = fps[order], tables[order]
     left, right, i, step = [], [], np.arange(len(fps)), 1
     while True:
         i = i[i + step < len(fps)]
-        i = i[runs[i] == runs[i + step]]
+        i = i[(runs[i] == runs[i + step]) & (tables[i + step, 0] - tables[i, 0] <= MAX_BITS)]  # sorted, so what fails here fails further on
         if not len(i):
             break
-        near = i[(np.abs(tables[i] - tables[i + step]) <= MAX_BITS).all(axis=1)]
+        near = i[(np.abs(tables[i, 1:] - tables[i + step, 1:]) <= MAX_BITS).all(axis=1)]
         near = near[np.bitwise_count(fps[near] ^ fps[near + step]) <= MAX_BITS]
         left.append(near)
         right.append(near + step)
         step += 1
-    return (np.concatenate(left), np.concatenate(right)) if left else (i, i)
+    return (order[np.concatenate(left)], order[np.concatenate(right)]) if left else (i, i)
 
 
 def _forest(i: np.ndarray, j: np.ndarray) -> list[int]:
@@ -165,8 +168,9 @@ def groups(fps: DataFrame) -> DataFrame:
     """fps: columns id, fp. One row for each: id, fp, component_id (the least id of its component)."""
     least = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     linked = components(near_links(least.select("fp")))
-    named = linked.join(least.select(F.col("fp").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(named, "root").select(F.col("node").alias("fp"), "component_id")
+    named = linked.join(least.select(F.col("fp").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    # A component may hold any number of nodes.
+    named = spread_join(linked, cut(named), "root", "nodes").select(F.col("node").alias("fp"), "component_id")
     every = cut(least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"))
     return spread_join(fps, every, "fp", "n").select("id", "fp", "component_id")
 
