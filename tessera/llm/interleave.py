@@ -4,13 +4,13 @@ Rows are shuffled within their source by a seeded digest, ranked there, sorted b
 source, and cut into shards whose row counts differ by one at most (law `rows`). Native: no Python runs on rows.
 
 Both rankings are exact without a task that holds a whole source or the whole table: a row's rank is the count
-of the rows in lower buckets (a running sum over at most BUCKETS counts) plus its place within its bucket, and
-buckets are cut from a digest or from an evenly spread fraction, so a source of a third of all rows spreads
+of the rows in lower buckets (a running sum over their counts) plus its place within its bucket, and
+buckets, whose number grows with the rows, are cut from a digest or from an evenly spread fraction, so a source of a third of all rows spreads
 over all of them. Texts never leave the scan; only narrow rows are exchanged.
 
 Defined cases: a null text has size 16 and checksum 0; null sources form one stratum; null ids and repeated
 rows are ordered by what else is known of them, and rows alike in all of it are interchangeable; with fewer rows
-than shards some shards are empty; an empty table gives an empty result; other columns play no part.
+than shards some shards are empty; very long texts are measured where they are read; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, table
 
-#: Buckets of each ranking; running sums are over this many counts.
-BUCKETS = 4096
+#: Buckets of each ranking, and rows that one may hold on average: with more rows there are more buckets. Running sums are
+#: over that many counts.
+BUCKETS, BUCKET_ROWS = 4096, 16_384
 OVERHEAD = 16
 
 
@@ -35,14 +36,15 @@ def shards(docs: DataFrame, n_shards: int = 40, seed: int = 17, id_col: str = "d
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("key"),
     )
-    rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, 3), 16, 10).cast("int"))
+    bits = max(BUCKETS, docs.count() // BUCKET_ROWS).bit_length() - 1
+    rows = rows.withColumn("bucket", F.shiftrightunsigned(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits).cast("int"))
     order = ("key", "id", "text_crc32", "size")
     whole, before = Window.partitionBy("stratum"), Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("stratum", "bucket").count().select("stratum", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("below"), F.sum("count").over(whole).alias("of"))
     place = F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy(*order))
     ranked = rows.join(sums, ["stratum", "bucket"]).withColumn("fraction", (F.col("below") + place - F.lit(0.5)) / F.col("of"))
-    ranked = cut(ranked.select("id", "stratum", "size", "text_crc32", "key", "fraction", F.least(F.floor(F.col("fraction") * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("cell")))
-    # At most BUCKETS rows reach this window.
+    ranked = cut(ranked.select("id", "stratum", "size", "text_crc32", "key", "fraction", F.least(F.floor(F.col("fraction") * (1 << bits)), F.lit((1 << bits) - 1)).cast("int").alias("cell")))
+    # One row for each bucket reaches this window.
     one = Window.partitionBy(F.lit(0))
     cells = ranked.groupBy("cell").count().select("cell", F.coalesce(F.sum("count").over(one.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"), F.sum("count").over(one).alias("total"))
     at = F.col("below") + F.row_number().over(Window.partitionBy("cell").orderBy("fraction", "stratum", *order)) - 1

@@ -11,10 +11,11 @@ learning). The machine is linear over Nyström features of LANDMARKS words, most
 scores by its worst words, wherever they stand, through a logistic curve fitted on the training documents. Words are
 scored once and kept in a bounded cache.
 
-Training reads a bounded sample: up to SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows, those least in a hash of the id,
-and from them up to WORDS clean words. Scoring reads every whole text.
+Training reads a bounded sample: up to SAMPLE_TOXIC and SAMPLE_CLEAN labelled rows, those least in a hash of the id;
+WORDS bounds the size of the machine's clean class, the half most frequent, the other half drawn by a hash: fewer leave
+rare clean words unseen, which then score by their likeness to the landmarks alone. Scoring reads every whole text.
 
-Defined cases: a null or wordless text has score 0; without labelled rows of both classes every score is 0; null
+Defined cases: a null or wordless text has score 0; very long texts are scored whole, very long words by their parts; without labelled rows of both classes every score is 0; null
 labels, null ids and labels of absent documents are not learned from; repeated rows score alike; an empty table
 gives an empty result; other columns play no part.
 """
@@ -214,6 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = rows.where("y = 1").orderBy(*least).limit(SAMPLE_TOXIC).unionByName(rows.where("y = 0").orderBy(*least).limit(SAMPLE_CLEAN))
     # The sample's bound makes the broadcast safe.
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text").where("text is not null")
+    least = (F.xxhash64("id"), F.xxhash64("text"), F.col("id"))  # an id may have many rows, so the bound is taken once more
+    sample = sample.where("y = 1").orderBy(*least).limit(SAMPLE_TOXIC).unionByName(sample.where("y = 0").orderBy(*least).limit(SAMPLE_CLEAN))
     sample = cut(sample.repartition(sample.sparkSession.sparkContext.defaultParallelism))
     words = cut(sample.mapInArrow(_words, f"id {sample.schema['id'].dataType.simpleString()}, y int, word string"))
     of = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -88,7 +88,7 @@ def _range_of(column: str, starts: np.ndarray, ends: np.ndarray) -> Column:
 
 
 def cuts(sizes: DataFrame, shard_bytes: int) -> np.ndarray:
-    """First ids of the shards after the first. sizes: id, bytes. Each round counts bytes in _CELLS ranges of ids at most, refining the heavy ones."""
+    """First ids of the shards after the first. sizes: id, bytes. Each round counts bytes in _CELLS ranges of ids, or two for each heavy one, and refines the heavy ones."""
     low, high, total = sizes.agg(F.min("id"), F.max("id"), F.sum("bytes")).first()
     if low is None:
         return np.empty(0, np.int64)
@@ -107,7 +107,7 @@ def cuts(sizes: DataFrame, shard_bytes: int) -> np.ndarray:
         heavy = []
         for k, (a, b) in enumerate(parts):
             n = found.get(k, 0)
-            if n > target and b - a > 1 and len(heavy) < _CELLS // 2:
+            if n > target and b - a > 1:  # fewer than SHARDS, as each holds more than its share
                 heavy.append((a, b))
             elif n:
                 done.append((a, n))
