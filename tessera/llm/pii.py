@@ -4,7 +4,7 @@ Native: the spans, their places, checksums and scores are column expressions.
 
 Base kinds are email, ip, card and phone; a base span that its validator confirms always stays. Further kinds are
 iban (confirmed by the remainder mod 97) and, where a telling word stands within CONTEXT characters before, national
-phone numbers (`local`) and identity numbers (`ssn`). A span scores by its kind, plus BONUS for a telling word; one
+phone numbers (`local`), identity numbers (`ssn`) and access keys (`secret`, confirmed by holding letters and many digits). A span scores by its kind, plus BONUS for a telling word; one
 of a further kind stays if it reaches ACCEPT and overlaps no base span.
 
 Patterns never backtrack into a run they have read, so a text of any length is scanned in linear time; they find what
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 
 CONTEXT, ACCEPT, BONUS = 40, 0.5, 0.3
-ORDER = ("email", "ip", "card", "phone", "iban", "local", "ssn")
-SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "local": 0.3, "ssn": 0.3}
+ORDER = ("email", "ip", "card", "phone", "iban", "local", "ssn", "secret")
+SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "local": 0.3, "ssn": 0.3, "secret": 0.3}
 TELLING = {
     "email": "mail|contact|write",
     "ip": r"\bip\b|address|host|server",
@@ -33,6 +33,7 @@ TELLING = {
     "iban": "iban|account|bank|konto",
     "local": "phone|call|tel|fax|mobile",
     "ssn": "ssn|social|security|identity",
+    "secret": "token|secret|passw|credential|api|key",
 }
 
 
@@ -55,6 +56,7 @@ FURTHER = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "local": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
 #: A character that a text with a span of the kind must have.
 _NEEDS = {"email": "@", "phone": "+"}
@@ -100,6 +102,7 @@ CONFIRM = {
     "card": f"length({_DIGITS}) between 12 and 19 and {_LUHN}",
     "phone": f"length({_DIGITS}) between 9 and 15",
     "iban": _MOD97,
+    "secret": "x.m rlike '[A-Za-z]' and length(regexp_replace(x.m, '[^0-9]', '')) >= 6",
 }
 
 

@@ -373,6 +373,18 @@ def test_language_filters_are_those_of_plain_sets():
         assert 0 <= score <= 1
 
 
+def test_language_counts_are_corrected_for_false_positives():
+    """A language whose filter is nearly full answers yes to anything; corrected, the one that really holds the text's trigrams wins."""
+    rng = np.random.default_rng(1)
+    own = np.unique(np.concatenate([*language.trigrams("the quick brown fox jumps over the lazy dog")]))
+    f = language.Filters({"aa": rng.integers(1, 1 << 62, 250_000, dtype=np.uint64), "en": own}, {})
+    text = "the quick brown dogs jumped " * 20 + " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(100))
+    codes = np.concatenate([*language.trigrams(text)])
+    found = np.array([f.masks[c][:, 0] for c in language.cells(codes)])
+    raw = {n: int((found >> np.uint64(i) & np.uint64(1)).all(axis=0).sum()) for i, n in enumerate(f.names)}
+    assert raw["aa"] > raw["en"] and f.predict(text)[0] == "en"
+
+
 def test_many_languages():
     grams = {f"l{i:03d}": np.array([(i + 1) << 42 | 97 << 21 | (i + 1)], dtype=np.uint64) for i in range(130)}
     f = language.Filters(grams, {})
@@ -425,6 +437,9 @@ def test_pii(spark):
         ("call 212-555-1234 now", [("local", 5, 17, 0.6)]),
         ("item 212-555-1234 now", []),
         ("my SSN is 123-45-6789", [("ssn", 10, 21, 0.6)]),
+        ('api_token = "ede43f42c939b6405768150e0411590525cf889e"', [("secret", 13, 53, 0.6)]),
+        ("ede43f42c939b6405768150e0411590525cf889e", []),
+        ("the key is donaudampfschifffahrtsgesellschaft", []),
     ],
 )
 def test_pii_by_checksum_and_context(spark, text, more):
@@ -466,6 +481,41 @@ def test_string_kernel_is_the_plain_one():
     assert np.allclose(marks.kernel(words), want, atol=1e-5)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_the_machine_is_the_least_of_its_loss(seed):
+    """Against plain gradient descent on the squared hinge."""
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.normal(size=(60, 3)), np.ones(60)])
+    y = np.where(x[:, 0] + 0.5 * rng.normal(size=60) > 0, 1.0, -1.0)
+    weight = rng.uniform(0.5, 2, 60)
+
+    def loss(w):
+        reg = 0.001 * weight.sum() * np.array([1, 1, 1, 1e-3])
+        return (weight * np.maximum(0, 1 - y * (x @ w)) ** 2).sum() + (reg * w * w).sum()
+
+    def slope(w):
+        reg = 0.001 * weight.sum() * np.array([1, 1, 1, 1e-3])
+        return -2 * x.T @ (weight * y * np.maximum(0, 1 - y * (x @ w))) + 2 * reg * w
+
+    plain = np.zeros(4)
+    for _ in range(20_000):
+        plain -= 1e-3 * slope(plain)
+    assert loss(toxicity._fit(x, y, weight)) <= loss(plain) * (1 + 1e-6)
+
+
+def test_witnesses_are_the_words_that_clean_texts_lack():
+    """Every toxic bag holds one of a few insults among common words; the machine's witnesses are those, whatever it began with."""
+    rng = random.Random(4)
+    common = [f"{a}{b}{c}" for a in ("lo", "ma", "te") for b in ("ri", "su", "na") for c in ("ton", "vel", "des")]
+    insults = ["blagfoz", "krunzle", "zwipping"]
+    bags = [rng.sample(common, 5) + [rng.choice(insults)] for _ in range(40)]
+    marks, weights, bias = toxicity.train_words(bags, [b[0] if k % 4 == 0 else b[-1] for k, b in enumerate(bags)], common)
+    f = {w: float(v) for w, v in zip(common + insults, marks.kernel(common + insults) @ weights + bias, strict=True)}
+    for bag in bags:
+        assert max(bag, key=f.get) in insults
+    assert min(f[w] for w in insults) > max(f[w] for w in common)
+
+
 def test_words_written_apart():
     assert {"idiot", "word"} <= toxicity.words_of("You i d i o t, word!") and "idiot" in toxicity.words_of("i.d-i.o.t")
     assert toxicity.words_of(None) == toxicity.words_of("12 !?") == set() and max(map(len, toxicity.words_of("a" * 100_000))) <= 48
