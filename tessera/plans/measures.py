@@ -204,11 +204,18 @@ def _grams(n: int) -> str:
     return f"h{n} AS (SELECT a.id, sum(least(a.k, b.k))::BIGINT AS hit FROM {side('p')} a JOIN {side('r')} b USING (id, g) GROUP BY a.id)"
 
 
-def _bleu(n: int) -> str:
+def _bleu_value(n: int) -> str:
+    ks = range(1, n + 1)
+    return f"CASE WHEN {' AND '.join(f'hit_{k} > 0' for k in ks)} THEN CASE WHEN pred_len >= ref_len THEN 1 ELSE exp(1 - ref_len / pred_len::DOUBLE) END * exp(({' + '.join(f'ln(greatest(hit_{k}, 1) / total_{k}::DOUBLE)' for k in ks)}) / {n}) ELSE 0 END"
+
+
+def _bleu_sum(n: int) -> str:
     ks = range(1, n + 1)
-    score = f"CASE WHEN {' AND '.join(f'hit_{k} > 0' for k in ks)} THEN CASE WHEN pred_len >= ref_len THEN 1 ELSE exp(1 - ref_len / pred_len::DOUBLE) END * exp(({' + '.join(f'ln(greatest(hit_{k}, 1) / total_{k}::DOUBLE)' for k in ks)}) / {n}) ELSE 0 END"
-    return f"""WITH {_PAIRS}, {', '.join(_grams(k) for k in ks)}, t AS (SELECT sum(len(p))::BIGINT AS pred_len, sum(len(r))::BIGINT AS ref_len, {', '.join(f'sum(greatest(len(p) - {k - 1}, 0))::BIGINT AS total_{k}' for k in ks)}, {', '.join(f'coalesce((SELECT sum(hit) FROM h{k}), 0)::BIGINT AS hit_{k}' for k in ks)} FROM tk)
-    SELECT pred_len, ref_len, {', '.join(f'total_{k}, hit_{k}' for k in ks)}, round({score}, 6) AS score FROM t"""
+    return f"{', '.join(_grams(k) for k in ks)}, t AS (SELECT sum(len(p))::BIGINT AS pred_len, sum(len(r))::BIGINT AS ref_len, {', '.join(f'sum(greatest(len(p) - {k - 1}, 0))::BIGINT AS total_{k}' for k in ks)}, {', '.join(f'coalesce((SELECT sum(hit) FROM h{k}), 0)::BIGINT AS hit_{k}' for k in ks)} FROM tk)"
+
+
+def _bleu(n: int) -> str:
+    return f"WITH {_PAIRS}, {_bleu_sum(n)} SELECT pred_len, ref_len, {', '.join(f'total_{k}, hit_{k}' for k in range(1, n + 1))}, round({_bleu_value(n)}, 6) AS score FROM t"
 
 
 @query("q_bleu1", _bleu(1))
@@ -223,19 +230,30 @@ def bleu4(spark, d):
     return _rounded(M.bleu(cut(_pairs(spark, d)), 4), "score")
 
 
-@query("q_rouge2", f"WITH {_PAIRS}, {_grams(2)}, f AS (SELECT tk.id, CASE WHEN coalesce(hit, 0) > 0 THEN 2 * hit / (greatest(len(p) - 1, 0) + greatest(len(r) - 1, 0))::DOUBLE ELSE 0 END AS f FROM tk LEFT JOIN h2 USING (id)) SELECT round(avg(f), 6) AS mean, round(stddev_samp(f), 6) AS std FROM f")
+_ROUGE2 = "f AS (SELECT tk.id, CASE WHEN coalesce(hit, 0) > 0 THEN 2 * hit / (greatest(len(p) - 1, 0) + greatest(len(r) - 1, 0))::DOUBLE ELSE 0 END AS f FROM tk LEFT JOIN h2 USING (id))"
+#: The table of the longest common subsequence, a row of it for each word of p: the running maximum over r's words.
+_LCS = """dp AS (SELECT id, p, r, 0 AS k, list_transform(range(len(r)), lambda j: 0) AS l FROM tk
+    UNION ALL SELECT id, p, r, k + 1, list_transform(range(1, len(r) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(l[i], CASE WHEN r[i] = p[k + 1] THEN coalesce(l[i - 1], 0) + 1 ELSE 0 END)))) FROM dp WHERE k < len(p)),
+    lc AS (SELECT id, CASE WHEN l[len(r)] > 0 THEN 2 * l[len(r)] / (len(p) + len(r))::DOUBLE ELSE 0 END AS f FROM dp WHERE k = len(p))"""
+
+
+@query("q_rouge2", f"WITH {_PAIRS}, {_grams(2)}, {_ROUGE2} SELECT round(avg(f), 6) AS mean, round(stddev_samp(f), 6) AS std FROM f")
 def rouge2(spark, d):
     """EVL-4, EVL-5."""
     return _rounded(M.mean_std(M.rouge_n(cut(_pairs(spark, d)), 2)), "mean", "std")
 
 
-@query("q_rougel")
+@query("q_rougel", f"WITH RECURSIVE {_PAIRS}, {_LCS} SELECT id, round(f, 6) AS f FROM lc")
 def rougel(spark, d):
-    """EVL-3, EVL-5: no SQL, as the longest common subsequence is a recursion over two positions; tested against a table."""
+    """EVL-3."""
     return _rounded(M.rouge_l(_pairs(spark, d)), "f")
 
 
-@query("q_scorers")
+@query(
+    "q_scorers",
+    f"""WITH RECURSIVE {_PAIRS}, {_bleu_sum(4)}, {_ROUGE2}, {_LCS} SELECT 'BLEU-1' AS metric, round({_bleu_value(1)}, 6) AS value FROM t UNION ALL SELECT 'BLEU-4', round({_bleu_value(4)}, 6) FROM t
+    UNION ALL SELECT 'ROUGE-2', round(avg(f), 6) FROM f UNION ALL SELECT 'ROUGE-L', round(avg(f), 6) FROM lc""",
+)
 def scorers(spark, d):
     """EVL-17: all registered scorers."""
     return _rounded(M.evaluate(cut(_pairs(spark, d)), *M.SCORERS), "value")
@@ -335,10 +353,9 @@ def bootstrap_reward(spark, d):
 
 def _bleu_sums(n: int) -> str:
     ks = range(1, n + 1)
-    score = f"CASE WHEN {' AND '.join(f'hit_{k} > 0' for k in ks)} THEN CASE WHEN pred_len >= ref_len THEN 1 ELSE exp(1 - ref_len / pred_len::DOUBLE) END * exp(({' + '.join(f'ln(greatest(hit_{k}, 1) / total_{k}::DOUBLE)' for k in ks)}) / {n}) ELSE 0 END"
     one = f"one AS (SELECT tk.id, len(p) AS pred_len, len(r) AS ref_len, {', '.join(f'greatest(len(p) - {k - 1}, 0) AS total_{k}, coalesce(h{k}.hit, 0) AS hit_{k}' for k in ks)} FROM tk {' '.join(f'LEFT JOIN h{k} ON h{k}.id = tk.id' for k in ks)})"
     names = ["pred_len", "ref_len", *(f"{c}_{k}" for k in ks for c in ("total", "hit"))]
-    return f"WITH {_PAIRS}, {', '.join(_grams(k) for k in ks)}, {one}, sm AS (SELECT replicate, {', '.join(f'sum({c} * times) AS {c}' for c in names)} FROM {_drawn('one')} GROUP BY replicate), m AS (SELECT {score} AS score FROM sm) SELECT {_pct('score')} FROM m"
+    return f"WITH {_PAIRS}, {', '.join(_grams(k) for k in ks)}, {one}, sm AS (SELECT replicate, {', '.join(f'sum({c} * times) AS {c}' for c in names)} FROM {_drawn('one')} GROUP BY replicate), m AS (SELECT {_bleu_value(n)} AS score FROM sm) SELECT {_pct('score')} FROM m"
 
 
 @query("q_bootstrap_bleu", _bleu_sums(4))
