@@ -312,7 +312,7 @@ def evaluate(pairs: DataFrame, *names: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (SCORERS[n](rows).select(F.lit(n).alias("metric"), F.col("score").alias("value")) for n in names))
 
 
-def printed(scores: DataFrame, order: tuple[str, ...]) -> list[str]:
-    """EVL-19: lines of the metrics that there are, in a fixed order."""
-    found = {r["metric"]: r["value"] for r in scores.collect()}
-    return [f"{name:<20}{found[name]:>10.4f}" for name in order if name in found]
+def printed(scores: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """EVL-19: ord and line of the metrics that there are, in a fixed order."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("metric"))
+    return scores.where(F.col("metric").isin(*order)).select(place.cast("int").alias("ord"), F.format_string("%-20s%10.4f", "metric", "value").alias("line"))

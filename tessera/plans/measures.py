@@ -259,6 +259,15 @@ def scorers(spark, d):
     return _rounded(M.evaluate(cut(_pairs(spark, d)), *M.SCORERS), "value")
 
 
+@query(
+    "q_printed",
+    f"""WITH {_PAIRS}, {_bleu_sum(1)}, {_grams(2)}, {_ROUGE2} SELECT 1::INTEGER AS ord, printf('%-20s%10.4f', 'ROUGE-2', avg(f)) AS line FROM f UNION ALL SELECT 3::INTEGER, printf('%-20s%10.4f', 'BLEU-1', {_bleu_value(1)}::DOUBLE) FROM t""",
+)
+def printed(spark, d):
+    """EVL-19: a score that isn't there has no line."""
+    return M.printed(M.evaluate(cut(_pairs(spark, d)), "BLEU-1", "ROUGE-2"), ("ROUGE-2", "ROUGE-L", "BLEU-1", "BLEU-4"))
+
+
 #: Facts of a turn: its distinct words with their first letters as labels; one relation, to the word after, for words of five letters and more.
 _FACTS = """fa AS (SELECT id, list_distinct(list_transform(p, lambda w: w || '/' || w[1:1])) AS ps, list_distinct(list_transform(r, lambda w: w || '/' || w[1:1])) AS rs,
     list_distinct(list_transform(p, lambda w, i: w || '/' || w[1:1] || CASE WHEN length(w) >= 5 AND i < len(p) THEN '/some' ELSE '' END)) AS pp, list_distinct(list_transform(r, lambda w, i: w || '/' || w[1:1] || CASE WHEN length(w) >= 5 AND i < len(r) THEN '/some' ELSE '' END)) AS rp,

@@ -13,6 +13,7 @@ from tessera.operators import vectors as O
 from tessera.plans.catalogue import query
 from tessera.session import cut, scratch, table
 from tessera.sources import sinks
+from tessera.sources.config import Config
 
 NOISE = 0
 _DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
@@ -177,6 +178,13 @@ def cluster_sample(spark, d):
     return O.sample_members(xy.select("label", "vec_id"), "label", "vec_id", 42, 30, p).select("label", "vec_id", "sample_rank")
 
 
+@query("q_configured_sample", "SELECT label, vec_id, sample_rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || vec_id), vec_id) AS sample_rank FROM embeddings) WHERE sample_rank <= 5")
+def configured_sample(spark, d):
+    """SRC-13: how many and by which seed are settings of the surroundings; what they don't set has a default."""
+    set_ = Config.of({"N_SAMPLES": "5", "SEED": "7"})
+    return O.sample_members(table(spark, d, "embeddings").select("label", "vec_id"), "label", "vec_id", set_.seed, set_.n_samples).select("label", "vec_id", "sample_rank")
+
+
 @query("q_clip", f"SELECT vec_id, round({_NORM}, 6) AS norm, round({_NORM} * least(1.0::DOUBLE, 1.0::DOUBLE / greatest({_NORM}, 1e-6::DOUBLE)), 6) AS clipped_norm FROM embeddings")
 def clip(spark, d):
     """VEC-4."""
