@@ -75,31 +75,36 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # Grouped by word and a 44-bit digest of the subsequence.
     group = own.astype(np.uint64) << np.uint64(44) | key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
     order = np.argsort(group)
-    group, first = np.unique(group[order], return_index=True)
+    group = group[order]
+    first = np.flatnonzero(np.r_[len(group) > 0, group[1:] != group[:-1]])
     weight = np.add.reduceat(weight[order], first)
     own, key = own[order][first], key[order][first]
     return own, key, weight / np.sqrt(np.bincount(own, weight * weight, len(words)))[own]
 
 
 class Landmarks:
-    """Words that others are compared with: their distinct subsequences, in order, and weights (subsequence x landmark)."""
+    """Words that others are compared with: their distinct subsequences, in order, and for each of these the landmarks that have it, with weights."""
 
     def __init__(self, words: list[str]) -> None:
         self.words = words
         i, u, w = subsequences(words)
-        self.keys, j = np.unique(u, return_inverse=True)
-        self.weights = np.bincount(j * len(words) + i, w, len(self.keys) * len(words)).reshape(-1, len(words)).astype(np.float32)
+        self.keys, first = np.unique(np.sort(u), return_index=True)
+        order = np.argsort(u, kind="stable")
+        self.first, self.marks, self.weights = np.r_[first, len(u)], i[order], w[order]
 
     def kernel(self, words: list[str]) -> np.ndarray:
-        """Words x landmarks: the normalised subsequence kernel to the power DEGREE."""
-        out = np.zeros((len(words), self.weights.shape[1]), dtype=np.float32)
+        """Words x landmarks: the normalised subsequence kernel to the power DEGREE. Few landmarks share a subsequence, so the products are sparse."""
+        out = np.zeros((len(words), len(self.words)), dtype=np.float32)
         for k in range(0, len(words), 512):
-            i, u, w = subsequences(words[k : k + 512])
+            part = words[k : k + 512]
+            i, u, w = subsequences(part)
             j = np.minimum(np.searchsorted(self.keys, u), len(self.keys) - 1)
             ok = self.keys[j] == u
-            i, first = np.unique(i[ok], return_index=True)
-            if len(i):
-                out[k + i] = np.add.reduceat(self.weights[j[ok]] * w[ok, None].astype(np.float32), first)
+            i, j, w = i[ok], j[ok], w[ok]
+            many = self.first[j + 1] - self.first[j]
+            at = np.repeat(self.first[j] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            cells = np.repeat(i * len(self.words), many) + self.marks[at]
+            out[k : k + 512] = np.bincount(cells, np.repeat(w, many) * self.weights[at], len(part) * len(self.words)).reshape(len(part), -1)
         return out**DEGREE
 
 
