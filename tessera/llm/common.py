@@ -88,6 +88,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows (an id and a digest, 40 bytes or so) that every worker may be given; more are exchanged and joined.
+FEW_ROWS = 500_000
+
+
+def without(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str, few: int = FEW_ROWS) -> DataFrame:
+    """docs but for the rows in lost (id, key: XXH64 of the text). Texts stay where they are while lost is small, which is checked."""
+    id_, key = fresh(docs, "lost_id", "lost_key")
+    lost = cut(lost.select(F.col("id").alias(id_), F.col("key").alias(key)).distinct())
+    lost = F.broadcast(lost) if lost.count() <= few else lost
+    return docs.join(lost, docs[id_col].eqNullSafe(lost[id_]) & (F.xxhash64(docs[text_col]) == lost[key]), "left_anti")
+
+
 def is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.length(c)
 

@@ -37,6 +37,6 @@ def components(links: DataFrame) -> DataFrame:
             if before == state:
                 break
         every = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        return cut(every)
+        return cut(every.repartition("node"))  # evenly, whatever the rounds left
     finally:
         tables.drop()

@@ -12,10 +12,11 @@ depends on capitals, so a passage whose case was changed has other templates. A
 
 Windows of an item need LITERAL words that aren't placeholders; an item without such windows is compared by its plain
 words alone. Items shorter than a window are one window of their length. The benchmark's window hashes go to every
-worker while they are no more than FEW; beyond that all windows of the documents are exchanged and joined.
+worker while they take no more than FEW_BYTES; beyond that all windows of the documents are exchanged and joined.
 
 Defined cases: null or wordless items match nothing; a null text matches nothing; equal rows are found alike; rows
-with equal ids but other texts are told apart by a digest of the text; null ids are kept as such; an empty table on
+with equal ids but other texts are told apart by a digest of the text; null ids are kept as such; very long texts are
+read whole, in parts that overlap by more than an item; an empty table on
 either side gives an empty result; other columns play no part.
 """
 
@@ -29,11 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, cut, fresh, table, trim
-
-WORDS, SHARE, LITERAL, FEW = 5, 0.8, 2, 4_000_000
-UNITS = tuple("mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg gram grams lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent mph kph kmh degree degrees".split())
-GIVEN = tuple("john mary james robert michael david william richard joseph thomas charles daniel matthew mark paul george peter tom tim bob bill jack sam ben alex max leo anna emma olivia sarah susan karen lisa nancy betty helen sandra laura alice jane julia kate lucy maria tina amy emily jessica jennifer linda patricia elizabeth".split())
+from tessera.llm.common import bound_batches, cut, table, trim, without
+
+WORDS, SHARE, LITERAL, FEW_BYTES = 5, 0.8, 2, 64 << 20
+#: Units and common given names by language; all are looked for in every text.
+UNITS = {
+    "en": "mm cm m km in inch inches ft foot feet yard yards mile miles mg g kg gram grams lb lbs pound pounds oz ounce ounces ml l liter liters litre litres gallon gallons sec second seconds min minute minutes h hour hours day days week weeks month months year years dollar dollars cent cents euro euros usd eur percent mph kph kmh degree degrees",
+    "de": "zoll fuß meile meilen gramm kilogramm pfund liter sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent grad meter kilometer",
+    "fr": "pouce pouces pied pieds mille milles gramme grammes kilogramme kilogrammes livre livres litre secondes heure heures jour jours semaine semaines mois an ans année années degré degrés mètre mètres kilomètre kilomètres",
+    "es": "pulgada pulgadas pie pies milla millas gramo gramos kilogramo kilogramos libra libras litro litros segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados metro metros kilómetro kilómetros",
+}
+GIVEN = {
+    "en": "john mary james robert michael david william richard joseph thomas charles daniel matthew mark paul george peter tom tim bob bill jack sam ben alex max leo anna emma olivia sarah susan karen lisa nancy betty helen sandra laura alice jane julia kate lucy maria tina amy emily jessica jennifer linda patricia elizabeth",
+    "de": "hans karl klaus jürgen wolfgang uwe dieter heinz lukas jonas felix ursula monika petra sabine renate lena hanna greta",
+    "fr": "jean pierre jacques michel louis henri françois luc marie anne claire sophie camille chloé juliette margot",
+    "es": "juan josé luis carlos miguel javier pablo diego pedro carmen isabel pilar lucía sofía elena",
+}
+_UNITS, _GIVEN = (tuple(w for words in x.values() for w in words.split()) for x in (UNITS, GIVEN))
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SLOT = {"number": 0xA24BAED4963EE407, "name": 0x9FB21C651E98DF25, "unit": 0xC13FA9A902A6328F}
 _CHUNK = 1 << 18
@@ -103,8 +116,8 @@ def template(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     breaks = np.r_[0, np.cumsum(np.isin(codes, _END))]
     first = np.r_[True, (breaks[starts[1:]] > breaks[ends[:-1]]) | (owner[1:] != owner[:-1])]
     capital = up[codes[starts]] & (ends - starts > 1) & ~up[codes[np.minimum(starts + 1, len(codes) - 1)]]
-    name = capital & (~first | _within(words, _known(GIVEN)))
-    unit = np.r_[False, number[:-1] & ~first[1:]] & _within(words, _known(UNITS))
+    name = capital & (~first | _within(words, _known(_GIVEN)))
+    unit = np.r_[False, number[:-1] & ~first[1:]] & _within(words, _known(_UNITS))
     value = np.where(number | name | unit, np.maximum(words, np.uint64(1)), np.uint64(0))
     plain = words
     words = words.copy()
@@ -171,6 +184,7 @@ def _segments(text: str, overlap: int) -> Iterator[str]:
 def template_windows(docs: DataFrame, sizes: list[int], plain: list[int], known: np.ndarray | None, overlap: int) -> DataFrame:
     """docs: id, key, text. The windows of these sizes, of template and plain words (of known hashes only, if given): id, key, hash, at, values (none if plain)."""
     kind = docs.schema["id"].dataType.simpleString()
+    held = docs.sparkSession.sparkContext.broadcast(known)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,6 +207,7 @@ def template_windows(docs: DataFrame, sizes: list[int], plain: list[int], known:
         trim()
 
     def scanned(batch: pa.RecordBatch, rows: list[int], parts: list[str]) -> Iterator[pa.RecordBatch]:
+        known = held.value
         owner, words, value, _, all_owner, all_words = template(parts)
         for mark, lengths, whose, use in ((0, sizes, owner, words), (_Q, plain, all_owner, all_words)):
             row = np.array(rows)[whose]
@@ -210,15 +225,15 @@ def template_windows(docs: DataFrame, sizes: list[int], plain: list[int], known:
     return docs.select("id", "key", "text").mapInArrow(found, f"id {kind}, key bigint, hash bigint, at bigint, values array<bigint>")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", few: int = FEW) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", few: int = FEW_BYTES) -> DataFrame:
     """One row for each pair of a text and an item it holds: id, key (digest of the text), item, found, of, changed."""
     bound_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text"))
     longest = items.agg(F.max(F.length("text"))).first()[0] or 0
     known = cut(items.mapInArrow(_items, f"item {items.schema['item'].dataType.simpleString()}, of bigint, plain boolean, hash bigint, place bigint, size int, values array<bigint>"))
-    shape = known.agg(F.collect_set(F.expr("if(plain, null, size)")), F.collect_set(F.expr("if(plain, size, null)")), F.count(F.lit(1))).first()
+    shape = known.agg(F.collect_set(F.expr("if(plain, null, size)")), F.collect_set(F.expr("if(plain, size, null)")), F.coalesce(F.sum(F.size("values") * 8 + 64), F.lit(0))).first()
     small = shape[2] <= few
-    hashes = np.unique(np.array([r[0] for r in known.select("hash").distinct().collect()], dtype=np.int64).view(np.uint64)) if small else None
+    hashes = np.unique(known.select("hash").distinct().toArrow().column(0).to_numpy().view(np.uint64)) if small else None
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     hits = template_windows(rows, sorted(shape[0]), sorted(shape[1]), hashes, 2 * longest + 1024)
     own = known.select("item", "of", "plain", "hash", "place", F.col("values").alias("own"))
@@ -237,9 +252,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that hold an item, all columns kept."""
-    id_, key = fresh(docs, "bad_id", "bad_key")
-    bad = cut(contaminated(docs, benchmark, id_col, text_col).select(F.col("id").alias(id_), F.col("key").alias(key)).distinct())
-    return docs.join(bad, docs[id_col].eqNullSafe(bad[id_]) & (F.xxhash64(docs[text_col]) == bad[key]), "left_anti")
+    return without(docs, contaminated(docs, benchmark, id_col, text_col), id_col, text_col)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
