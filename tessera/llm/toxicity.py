@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     least = (F.xxhash64("id"), F.col("id"))
     picked = rows.where("y = 1").orderBy(*least).limit(SAMPLE_TOXIC).unionByName(rows.where("y = 0").orderBy(*least).limit(SAMPLE_CLEAN))
     # The sample's bound makes the broadcast safe.
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text").where("text is not null")
+    sample = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text").where("text is not null"))
     least = (F.xxhash64("id"), F.xxhash64("text"), F.col("id"))  # an id may have many rows, so the bound is taken once more
     sample = sample.where("y = 1").orderBy(*least).limit(SAMPLE_TOXIC).unionByName(sample.where("y = 0").orderBy(*least).limit(SAMPLE_CLEAN))
     sample = cut(sample.repartition(sample.sparkSession.sparkContext.defaultParallelism))
