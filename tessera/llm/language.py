@@ -5,8 +5,8 @@ bit-sliced: one array whose cell holds a mask with a bit for each language, so o
 all languages that contain a trigram. Over the trigrams of a text, the set bits are counted for each language,
 corrected for the false positives that the language's filled share predicts, and the highest count decides.
 
-Learning reads a bounded sample: up to SAMPLE learnable documents of each language, those least in a hash of the id;
-prediction reads every whole text, and nothing but the text.
+Learning reads a bounded sample: up to SAMPLE learnable documents of each language, those least in a hash of id and text;
+prediction reads every whole text, and nothing but the text, a very long one a part at a time.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; a text with letters but no trigram of any
 language gets the most common learned language, with score 0; ties go to the name first in order; without learnable
@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bound_batches, cut, table
 
 SAMPLE = 1500
-#: Trigrams that a language puts in, the most frequent first.
+#: Cells of the hash in which the sample's rows are counted.
+CELLS = 1 << 16
+#: Size of the model, not of what it learns from: trigrams that a language puts in, the most frequent first, as far as all that are
+#: equally frequent fit in (the first of these always do). More of them fill the filter, so that false positives, for which the counts are corrected, weigh more.
 GRAMS = 8000
 #: A trigram is put in where the share of documents with it is this part of its greatest share in a language at least.
 TYPICAL = 0.25
@@ -115,18 +118,27 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Filters of the languages in docs, which must hold learnable rows only."""
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.xxhash64(id_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    # One row for each language reaches the driver: the hash below which its sample lies, and its rows.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    limits = rows.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= SAMPLE).groupBy("lang").agg(F.max("h").alias("most"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = rows.join(F.broadcast(limits), "lang").where("h <= most").select("lang", "text")
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
+    # One row for each language and cell of hashes is counted, one for each language reaches the driver: its rows.
+    cell = F.shiftrightunsigned(F.col("h"), 64 - CELLS.bit_length() + 1)
+    cells_ = rows.groupBy("lang", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["lang"]: r["n"] for r in cells_.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = cells_.withColumn("before", before).where(F.col("before") < SAMPLE).groupBy("lang").agg(F.max("cell").alias("last"), F.max_by("before", "cell").alias("before"))
+    near = rows.withColumn("cell", cell).join(F.broadcast(first), "lang").where("cell <= last")
+    # Whole cells below the last one, and of that one its first rows: all told SAMPLE rows of a language at most.
+    rank = F.row_number().over(Window.partitionBy("lang", "cell").orderBy("h", "text"))
+    sample = near.where("cell < last").unionByName(near.where("cell = last").withColumn("rank", rank).where((F.col("rank") <= SAMPLE) & (F.col("rank") <= SAMPLE - F.col("before"))).drop("rank"))
+    sample = cut(sample.select("lang", "text"))
     grams = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
     drawn = sample.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
     share = F.col("n") / F.col("docs")
     grams = grams.join(F.broadcast(drawn), "lang").withColumn("share", share).withColumn("most", F.max(share).over(Window.partitionBy("gram"))).where(F.col("share") >= F.col("most") * TYPICAL)
-    best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    kept = cut(grams.withColumn("rank", best).where(F.col("rank") <= GRAMS).select("lang", "gram")).toPandas()
+    # Trigrams in equally many documents stay or go together: a language's counts, not its trigrams, are put in order.
+    grams = cut(grams.select("lang", "gram", "n"))
+    upto = F.sum("many").over(Window.partitionBy("lang").orderBy(F.desc("n")))
+    classes = grams.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("many")).withColumn("upto", upto).where((F.col("upto") <= GRAMS) | (F.col("upto") == F.col("many")))
+    kept = grams.join(F.broadcast(classes), ["lang", "n"]).select("lang", "gram").toPandas()
     return Filters({k: g["gram"].to_numpy().view(np.uint64) for k, g in kept.groupby("lang")}, counts)
 
 
