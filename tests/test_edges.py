@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.operators import cluster, external, taxonomy, vectors
@@ -189,6 +190,41 @@ def test_density_clusters(spark):
     assert (cluster.density_clusters(x[:3], 15, 5)[0] == -1).all()
 
 
+def test_density_clusters_of_more_points_than_one_pass_over_all_pairs_takes(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.3, (25_050, 2)) for c in (0, 9)])
+    df = spark.createDataFrame(pd.DataFrame({"i": range(len(x)), "v": x.tolist()}))
+    got = np.array([r["cluster_id"] for r in cluster.clustered(df, "i", "v", 9000, 5).orderBy("id").collect()])
+    assert len(got) == 50_100 and (got[:25_050] == 0).mean() > 0.9 and (got[25_050:] == 1).mean() > 0.9 and not (got[:25_050] == 1).any() and not (got[25_050:] == 0).any()
+
+
+@pytest.mark.parametrize("digits", [1, 9])
+def test_the_spanning_tree_is_as_short_as_that_of_all_pairs(digits):
+    """Points with many equal distances too; the order of the points plays no part in the clusters."""
+    rng = np.random.default_rng(4)
+    x = np.round(np.concatenate([rng.normal(c, 0.3, (300, 3)) for c in (0, 2, 4)] + [rng.uniform(-5, 9, (60, 3))] + [np.ones((90, 3))]), digits)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, 5]
+    d = np.maximum(d, np.maximum(core[:, None], core[None]))
+    best, want = d[0].copy(), []
+    best[0] = -1
+    for _ in range(len(x) - 1):
+        j = np.where(best < 0, np.inf, best).argmin()
+        want.append(best[j])
+        best = np.where(best < 0, -1, np.minimum(best, d[j]))
+        best[j] = -1
+    boxes = cluster._Boxes(x)
+    got = cluster._core(boxes, 5)
+    assert np.allclose(got, core[boxes.order], atol=1e-12)
+    tree = cluster._spanning_tree(boxes, got)
+    assert len(tree) == len(x) - 1 and np.allclose(np.sort(tree[:, 2]), np.sort(want), atol=1e-12)
+    labels, kept = cluster.density_clusters(x, 15, 5)
+    mixed = rng.permutation(len(x))
+    again, kept_again = cluster.density_clusters(x[mixed], 15, 5)
+    pairs = set(zip(labels[mixed].tolist(), again.tolist(), strict=True))
+    assert len(pairs) == len(set(labels.tolist())) == len(set(again.tolist())) and np.allclose(sorted(kept), sorted(kept_again))
+
+
 def test_replay(spark):
     log = [(0, "i0", "create", None, "A", "a0"), (1, "i1", "create", None, "B", "b0"), (2, "i2", "assign", 0, None, None), (3, "i3", "fix", 1, None, "b1"), (4, "i4", "assign", 7, None, None), (5, "i5", "toss", 0, None, None), (6, "i6", "fix", 1, None, "b2")]
     df = spark.createDataFrame(log, "ord int, item string, action string, category_id int, name string, definition string")
