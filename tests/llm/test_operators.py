@@ -710,6 +710,34 @@ def test_similar_loses_nothing_in_large_band_keys(spark, monkeypatch):
     assert len({(roots[i], got[i]) for i in got}) == len(set(roots)) == len(set(got.values()))
 
 
+def test_fingerprints_alone_bring_like_texts_together():
+    """Pairs at a similarity of hardly more than 0.8 share run keys and are within the bound; unlike ones aren't within it."""
+    rnd, met, total = random.Random(11), 0, 0
+    for _ in range(300):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+        other = [*words[:267], *(f"n{rnd.randrange(10**6)}" for _ in range(33))]
+        x, y = shingles(" ".join(words)), shingles(" ".join(other))
+        assert 0.79 < len(x & y) / len(x | y) < 0.82
+        fps = np.array([similar.sketch(" ".join(t))[0] for t in (words, other, words[::-1])])
+        keys = similar.run_keys(fps)
+        i, j = similar.close_in_runs(fps, np.zeros(3, dtype=np.int64), similar.bound(0.8))
+        assert all({a, b} == {0, 1} for a, b in zip(i.tolist(), j.tolist(), strict=True))
+        met, total = met + (len(i) == 1 and bool((keys[0] == keys[1]).any())), total + 1
+    assert met >= 0.99 * total
+
+
+def test_pairs_of_runs_are_those_of_all_pairs():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 64, (12, 4), dtype=np.uint64)
+    fps = base[rng.integers(0, 12, 300)] ^ (rng.integers(0, 1 << 64, (300, 4), dtype=np.uint64) & rng.integers(0, 1 << 64, (300, 4), dtype=np.uint64) & rng.integers(0, 1 << 64, (300, 4), dtype=np.uint64))
+    runs = np.sort(rng.integers(0, 9, 300))
+    i, j = similar.close_in_runs(fps, runs, 56)
+    want = {frozenset((a, b)) for a in range(300) for b in range(a) if runs[a] == runs[b] and np.bitwise_count(fps[a] ^ fps[b]).sum() <= 56}
+    assert {frozenset(x) for x in zip(i.tolist(), j.tolist(), strict=True)} == want and len(i) == len(want) > 50
+    links = [x for r in range(9) for x in similar.forest(np.flatnonzero(runs == r), fps[runs == r], 56)]
+    assert join_up(300, lambda a, b: frozenset((a, b)) in want) == join_up(300, lambda a, b, links={frozenset(x) for x in links}: frozenset((a, b)) in links)
+
+
 def test_repeated_lines_leave_the_fingerprint_alone():
     rnd = random.Random(8)
     text = " ".join(f"w{rnd.randrange(9000)}" for _ in range(600))
